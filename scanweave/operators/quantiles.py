@@ -14,9 +14,12 @@ ACCURACY = 10_000
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str | Column, wanted: dict[str, float]
+    df: DataFrame, keys: list[str], value: str | Column, wanted: dict[str, float], rank: str = "linear"
 ) -> DataFrame:
-    """Linear-interpolated percentiles (`wanted`: output column -> share) per key.
+    """Percentiles (`wanted`: output column -> share) per key.
+
+    `rank="linear"` interpolates between the two ranks around (n - 1) p; `rank="index"`
+    takes the value at index floor(n p).
 
     NULL and NaN values do not count. At most about 4 in 10,000 rows of a group lie in
     a bracket; groups up to 10,000 rows are ordered whole.
@@ -31,12 +34,18 @@ def exact_percentiles(
         F.percentile_approx("_v", marks, ACCURACY).alias("_marks"),
     )
     small = F.col("_n") <= ACCURACY
+
+    def position(p: Column) -> Column:
+        if rank == "index":
+            return F.least(F.floor(F.col("_n") * p), F.col("_n") - 1).cast("double")
+        return (F.col("_n") - 1) * p
+
     brackets = F.array(*[
         F.struct(
             F.lit(k).alias("_k"),
             F.when(small, F.col("_min")).otherwise(F.col("_marks")[k]).alias("_low"),
             F.when(small, F.col("_max")).otherwise(F.col("_marks")[k + len(shares)]).alias("_high"),
-            ((F.col("_n") - 1) * F.lit(p)).alias("_rank"),
+            position(F.lit(p)).alias("_rank"),
         )
         for k, p in enumerate(shares)
     ])

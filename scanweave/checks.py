@@ -122,3 +122,42 @@ def sql(body: str, **extra: str) -> str:
 def r(expression: str, digits: int = 6) -> str:
     """Rounded measure without a negative zero."""
     return f"(round({expression}, {digits}) + 0.0::DOUBLE)"
+
+
+# ---------------------------------------------------------------- vector text helpers
+
+
+def sv(prefix: str = "", suffix: str = "") -> tuple[str, str, str]:
+    # `by` is a keyword; the corner tables call it `by_`.
+    names = [f"{prefix}{n}{suffix}" for n in "xyz"]
+    return tuple("by_" if n == "by" else n for n in names)
+
+
+def sdot(a, b) -> str:
+    return "(" + " + ".join(f"({p}) * ({q})" for p, q in zip(a, b)) + ")"
+
+
+def ssub(a, b):
+    return tuple(f"(({p}) - ({q}))" for p, q in zip(a, b))
+
+
+def sadd(a, b):
+    return tuple(f"(({p}) + ({q}))" for p, q in zip(a, b))
+
+
+def smul(a, s):
+    return tuple(f"(({p}) * ({s}))" for p in a)
+
+
+def scross(a, b):
+    return tuple(
+        f"(({a[i]}) * ({b[j]}) - ({a[j]}) * ({b[i]}))" for i, j in ((1, 2), (2, 0), (0, 1))
+    )
+
+
+def snorm(a) -> str:
+    return f"sqrt({sdot(a, a)})"
+
+
+def sunit(a):
+    return tuple(f"(({p}) / CASE WHEN {snorm(a)} = 0 THEN 1 ELSE {snorm(a)} END)" for p in a)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -88,3 +88,12 @@ def hypot(a: Column, b: Column) -> Column:
 
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+
+
+def stage(df: DataFrame, **vectors: V) -> DataFrame:
+    """Add vectors as columns `<name>x`, `<name>y`, `<name>z`.
+
+    Long vector formulas use each intermediate several times; a named stage keeps the
+    expression from growing with every use (the optimizer does not inline it again).
+    """
+    return df.select("*", *[c for name, v in vectors.items() for c in v.named(name)])

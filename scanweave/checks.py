@@ -60,6 +60,9 @@ CTES: dict[str, str] = {
     "box_tri": """SELECT f.*, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz,
         c.x AS cx, c.y AS cy, c.z AS cz FROM box_faces f JOIN box_vertices a ON a.vertex_id = f.v0
         JOIN box_vertices b ON b.vertex_id = f.v1 JOIN box_vertices c ON c.vertex_id = f.v2""",
+    "box_points": """SELECT b.scan_id, ((l_orderkey * 8 + l_linenumber) * 100000 + body) * 64 + l_quantity::BIGINT AS vertex_id, body, x0 + dx * (l_quantity / 40 - 0.113::DOUBLE) AS x,
+        y0 + dy * (l_discount * 12 - 0.107::DOUBLE) AS y, z0 + dz * (l_tax * 14 - 0.059::DOUBLE) AS z, x0, y0, z0, dx, dy, dz FROM lineitem
+        JOIN boxes b ON b.body = l_partkey""",
     "cloud": """SELECT 'scan_' || (vec_id % 5) AS scan_id, vec_id AS point_id, embedding[1]::DOUBLE AS x,
         embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, label + 1 AS label FROM embeddings""",
     "polylines": """SELECT 'scan_' || ((o_orderkey // 100) % 5) AS scan_id, o_orderkey // 100 AS chain_id,

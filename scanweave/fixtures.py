@@ -167,6 +167,28 @@ class Tables:
             F.lit(False).alias("synthetic"),
         )
 
+    @cached_property
+    def outward_faces(self) -> DataFrame:
+        swap = F.col("body") % 10 == 3
+        return self.box_faces.withColumns({
+            "v1": F.when(swap, F.col("v2")).otherwise(F.col("v1")),
+            "v2": F.when(swap, F.col("v1")).otherwise(F.col("v2")),
+        })
+
+    @cached_property
+    def box_points(self) -> DataFrame:
+        """Probes in and around the boxes: one per line item."""
+        items = self.read("lineitem").select(
+            F.col("l_partkey").alias("body"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("n"),
+            "l_quantity", "l_discount", "l_tax",
+        )
+        return items.join(self.boxes, "body").select(
+            "scan_id", ((F.col("n") * 100_000 + F.col("body")) * 64 + F.col("l_quantity").cast("long")).alias("vertex_id"), "body",
+            (F.col("x0") + F.col("dx") * (F.col("l_quantity") / 40 - 0.113)).alias("x"),
+            (F.col("y0") + F.col("dy") * (F.col("l_discount") * 12 - 0.107)).alias("y"),
+            (F.col("z0") + F.col("dz") * (F.col("l_tax") * 14 - 0.059)).alias("z"),
+        )
+
     # ------------------------------------------------------------------ points, chains, values
 
     @cached_property

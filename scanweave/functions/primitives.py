@@ -122,32 +122,40 @@ def applicable_kinds(direction: Column, offset: Column, radius: Column, half_ang
     return every
 
 
-def closest_on_triangle(p: V, a: V, b: V, c: V) -> tuple[V, Column]:
-    """Closest point of a triangle and the feature it lies on.
+def with_closest_on_triangle(df: DataFrame, p: V) -> DataFrame:
+    """Add the closest point `q*` of the triangle `ax … cz` and the feature `code` it lies on.
 
     Codes: 0 face, 1-3 corner a, b, c, 4-6 edge ab, bc, ca. Corners and edges are tested in
     a fixed order, so a point on a shared feature always gets one code.
     """
-    ab, ac, ap, bp, cp = b - a, c - a, p - a, p - b, p - c
-    d1, d2, d3, d4, d5, d6 = ab.dot(ap), ac.dot(ap), ab.dot(bp), ac.dot(bp), ab.dot(cp), ac.dot(cp)
-    va, vb, vc = d3 * d6 - d5 * d4, d5 * d2 - d1 * d6, d1 * d4 - d3 * d2
+    names = df.columns
+    a, b, c = vec("a"), vec("b"), vec("c")
+    ab, ac = b - a, c - a
+    dots = {}
+    for k, corner in enumerate((a, b, c)):
+        dots[f"_d{2 * k + 1}"], dots[f"_d{2 * k + 2}"] = ab.dot(p - corner), ac.dot(p - corner)
+    df = df.withColumns(dots)
+    d1, d2, d3, d4, d5, d6 = (F.col(f"_d{k}") for k in range(1, 7))
+    df = df.withColumns({"_va": d3 * d6 - d5 * d4, "_vb": d5 * d2 - d1 * d6, "_vc": d1 * d4 - d3 * d2})
+    va, vb, vc = (F.col(f"_v{k}") for k in "abc")
+    code = (
+        F.when((d1 <= 0) & (d2 <= 0), 1).when((d3 >= 0) & (d4 <= d3), 2)
+        .when((vc <= 0) & (d1 >= 0) & (d3 <= 0), 4).when((d6 >= 0) & (d5 <= d6), 3)
+        .when((vb <= 0) & (d2 >= 0) & (d6 <= 0), 6).when((va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0), 5)
+        .otherwise(0)
+    )
+    df = df.withColumn("code", code)
+    ratio = lambda top, bottom: top / F.when(bottom == 0, 1.0).otherwise(bottom)
     total = va + vb + vc
     total = F.when(F.abs(total) < 1e-300, 1e-300).otherwise(total)
-    safe = lambda top, bottom: top / F.when(bottom == 0, 1.0).otherwise(bottom)
-    t_bc = safe(d4 - d3, (d4 - d3) + (d5 - d6))
-    zero, one = F.lit(0.0), F.lit(1.0)
-    cases = [
-        ((d1 <= 0) & (d2 <= 0), 1, zero, zero),
-        ((d3 >= 0) & (d4 <= d3), 2, one, zero),
-        ((vc <= 0) & (d1 >= 0) & (d3 <= 0), 4, safe(d1, d1 - d3), zero),
-        ((d6 >= 0) & (d5 <= d6), 3, zero, one),
-        ((vb <= 0) & (d2 >= 0) & (d6 <= 0), 6, zero, safe(d2, d2 - d6)),
-        ((va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0), 5, 1 - t_bc, t_bc),
-    ]
-    v, w, code = vb / total, vc / total, F.lit(0)
-    for test, number, tv, tw in reversed(cases):
-        v, w, code = F.when(test, tv).otherwise(v), F.when(test, tw).otherwise(w), F.when(test, number).otherwise(code)
-    return a + ab * v + ac * w, code
+    on_bc = ratio(d4 - d3, (d4 - d3) + (d5 - d6))
+    k = F.col("code")
+    df = df.withColumns({
+        "_v": F.when(k == 0, vb / total).when(k == 4, ratio(d1, d1 - d3)).when(k == 5, 1 - on_bc).when(k == 2, 1.0).otherwise(0.0),
+        "_w": F.when(k == 0, vc / total).when(k == 6, ratio(d2, d2 - d6)).when(k == 5, on_bc).when(k == 3, 1.0).otherwise(0.0),
+    })
+    q = a + ab * F.col("_v") + ac * F.col("_w")
+    return df.select(*names, "code", *q.named("q"))
 
 
 def solid_angle(a: V, b: V, c: V) -> Column:

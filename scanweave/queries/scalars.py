@@ -332,8 +332,8 @@ def probed(t):
 @query("p08_closest_on_triangle", sql(f"""SELECT scan_id, face_id, code, {', '.join(
     f"{r(f'{a} + v * ({b} - {a}) + w * ({c} - {a})')} AS q{n}" for n, a, b, c in zip('xyz', sv('a'), sv('b'), sv('c')))} FROM bary""", **PROBE))
 def _(t):
-    q, code = pr.closest_on_triangle(vec("p"), vec("a"), vec("b"), vec("c"))
-    return probed(t).select("scan_id", "face_id", code.alias("code"), *named("q", q))
+    found = pr.with_closest_on_triangle(probed(t), vec("p"))
+    return found.select("scan_id", "face_id", "code", *named("q", vec("q")))
 
 
 _A, _B, _C = (ssub(sv(c), sv("p")) for c in "abc")

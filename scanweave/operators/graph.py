@@ -145,22 +145,20 @@ def grow(
         links = links.join(
             allowed.select("scan_id", F.col("face_id").alias("other")), ["scan_id", "other"], "left_semi"
         )
-    seen = seeds.select("scan_id", "face_id").distinct().withColumn("ring", F.lit(0))
-    ring = 0
+    links = cut(links.select("scan_id", "face_id", "other"))
+    frontier = cut(seeds.select("scan_id", "face_id").distinct().withColumn("ring", F.lit(0)))
+    seen, ring = frontier, 0
     while rings is None or ring < rings:
-        frontier = seen.filter(F.col("ring") == ring)
-        reached = (
-            links.join(frontier.select("scan_id", "face_id"), ["scan_id", "face_id"])
-            .select("scan_id", F.col("other").alias("face_id")).distinct()
-            .join(seen, ["scan_id", "face_id"], "left_anti")
-            .withColumn("ring", F.lit(ring + 1))
-        )
         ring += 1
-        if rings is None or ring % 4 == 0:
-            reached = cut(reached)
-            if reached.isEmpty():
-                break
-        seen = seen.unionByName(reached)
-        if ring % 4 == 0:
+        reached = links.join(frontier.select("scan_id", "face_id"), ["scan_id", "face_id"], "left_semi")
+        frontier = cut(
+            reached.select("scan_id", F.col("other").alias("face_id")).distinct()
+            .join(seen, ["scan_id", "face_id"], "left_anti").withColumn("ring", F.lit(ring))
+        )
+        if frontier.isEmpty():
+            break
+        # The union of written tables stays cheap to read; it is merged now and then.
+        seen = seen.unionByName(frontier)
+        if ring % 8 == 0:
             seen = cut(seen)
     return seen

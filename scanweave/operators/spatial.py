@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scanweave.functions.primitives import with_closest_on_triangle
-from scanweave.functions.vec import V, vec
+from scanweave.functions.vec import V, stage, vec
 from scanweave.session import cut
 
 XYZ = ["x", "y", "z"]
@@ -224,8 +224,8 @@ def triangle_cells(tri: DataFrame, cell: float, reach: float = 0.0) -> DataFrame
     slack = (F.abs(gs) + F.abs(gt)) * (cell / 2 + reach) + reach + 1e-9 * cell
     bottom = F.when(flat, low(2)).otherwise(F.greatest(low(2), middle - slack))
     top = F.when(flat, high(2)).otherwise(F.least(high(2), middle + slack))
-    df = df.withColumn("_lo", F.floor(bottom / cell)).withColumn("_hi", F.floor(top / cell)).filter("_hi >= _lo")
-    df = df.withColumn("_w", F.explode(F.sequence("_lo", "_hi")))
+    df = df.withColumn("_lo", F.floor(bottom / cell)).withColumn("_hi", F.floor(top / cell))
+    df = df.withColumn("_w", F.explode(F.when(F.col("_hi") >= F.col("_lo"), F.sequence("_lo", "_hi"))))
     back = lambda order: F.when(F.col("_m") == 0, F.col(order[0])).when(F.col("_m") == 1, F.col(order[1])).otherwise(F.col(order[2]))
     cells = [back(("_w", "_t", "_s")), back(("_s", "_w", "_t")), back(("_t", "_s", "_w"))]
     return df.select(*names, *[c.alias(n) for c, n in zip(cells, CELL)])
@@ -243,10 +243,11 @@ def closest_points(points: DataFrame, tri: DataFrame, max_distance: float, cell:
     met = with_cell(points.select("scan_id", "vertex_id", *XYZ), cell).join(spread, ["scan_id", *CELL])
     met = with_closest_on_triangle(met, vec()).withColumn("dist", (vec() - vec("q")).norm())
     # All candidates of a point sit in its cell: grouping by the join key needs no new exchange.
-    best = met.filter(F.col("dist") <= max_distance).groupBy("scan_id", *CELL, "vertex_id").agg(
+    # The bound is applied afterwards, because a filter below would copy the whole formula.
+    best = met.groupBy("scan_id", *CELL, "vertex_id").agg(
         F.min(F.struct("dist", "tri_id", "code", "qx", "qy", "qz", *XYZ)).alias("_b")
     )
-    return best.select("scan_id", "vertex_id", "_b.*")
+    return best.filter(F.col("_b.dist") <= max_distance).select("scan_id", "vertex_id", "_b.*")
 
 
 def feature_normals(faces: DataFrame, tri: DataFrame) -> DataFrame:
@@ -354,14 +355,13 @@ def ray_hits(rays: DataFrame, tri: DataFrame, cell: float) -> DataFrame:
     df = df.select("scan_id", "ray_id", *[f"{p}{c}" for p in "od" for c in XYZ], *CELL)
     met = df.join(triangle_cells(tri, cell, 1e-9), ["scan_id", *CELL])
     a, e1, e2, d = vec("a"), vec("b") - vec("a"), vec("c") - vec("a"), vec("d")
-    p, s = d.cross(e2), vec("o") - a
-    det = e1.dot(p)
-    safe = F.when(det == 0, 1.0).otherwise(det)
-    q = s.cross(e1)
-    u, v, t = s.dot(p) / safe, d.dot(q) / safe, e2.dot(q) / safe
-    hit = (det != 0) & (u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0)
-    return met.filter(hit).select("scan_id", "ray_id", F.struct(t.alias("t"), "face_id").alias("_h")).groupBy("scan_id", "ray_id").agg(
-        F.min("_h").alias("_h")).select("scan_id", "ray_id", "_h.*")
+    met = stage(met, _p=d.cross(e2), _s=vec("o") - a)
+    met = stage(met.withColumn("_det", e1.dot(vec("_p"))), _q=vec("_s").cross(e1))
+    det = F.when(F.col("_det") == 0, F.lit(None)).otherwise(F.col("_det"))
+    met = met.withColumns({"_u": vec("_s").dot(vec("_p")) / det, "_v": d.dot(vec("_q")) / det, "t": e2.dot(vec("_q")) / det})
+    hit = (F.col("_u") >= 0) & (F.col("_v") >= 0) & (F.col("_u") + F.col("_v") <= 1) & (F.col("t") >= 0)
+    best = met.groupBy("scan_id", "ray_id").agg(F.min(F.when(hit, F.struct("t", "face_id"))).alias("_h"))
+    return best.filter("_h IS NOT NULL").select("scan_id", "ray_id", "_h.*")
 
 
 def closest_rows(met: DataFrame, k: int) -> DataFrame:

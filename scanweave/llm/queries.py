@@ -80,3 +80,31 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(table(spark, sf_dir, "documents"), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+@op("op8_additive_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scanweave.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@op("op10_unlabelled_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scanweave.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@op("op9_coordinate_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scanweave.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@op("op6_suffix_repeats")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scanweave.llm.suffixes import digest, remove_repeats
+
+    return digest(remove_repeats(table(spark, sf_dir, "documents")))

@@ -116,6 +116,19 @@ def test_packing(spark, documents):
     assert pack_documents(documents(docs).limit(0), tokenizer_path()).count() == 0
 
 
+def test_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    from scanweave.llm.packing import Encoder
+    from scanweave.llm.queries import tokenizer_path
+
+    whole, own, rng = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path()), random.Random(9)
+    signs = list("abzAZ09'.,!-_ \n\t\xa0\x85\u2028\x1c\x00\x7f<|>éÉ̈ßǅΣσςİıﬁ½²中文🙂\u0301\u200d'sS'LL") + ["'re", "<|endoftext|>", "<|startoftext|>"]
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(0, 30)))
+        assert own.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_packing_query(spark):
     from tokenizers import Tokenizer
 

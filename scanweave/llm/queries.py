@@ -108,3 +108,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scanweave.llm.suffixes import digest, remove_repeats
 
     return digest(remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@op("op7_soft_mixing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scanweave.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

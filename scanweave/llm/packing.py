@@ -11,12 +11,14 @@ the place of the n-th run of a length.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,21 +26,54 @@ from scanweave.llm.common import number_within, settled
 
 CAPACITY = 4_096
 END_ID = 2
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 
 _ENCODERS: dict[str, Encoder] = {}
+#: How the vocabulary splits lower-case text: contractions, letters, single digits, runs of marks.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_MARKS = regex.compile(r"(\p{N}|[^\s\p{L}\p{N}]+)")
+
+
+def _latin(kinds: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] in kinds)
+
+
+#: The same marks for texts of the first 256 characters, which have one normal form.
+_LATIN_MARKS = re.compile(rf"([{_latin('N')}]|[^\s{_latin('LN')}]+)")
+#: The byte alphabet of the vocabulary: printable Latin characters stand for themselves, others follow from 256.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
+class Words(dict):
+    """Little-endian ids of words, encoded once. When full, half of the memory starts anew."""
+
+    def __init__(self, tokenizer) -> None:
+        self.model, self.older = tokenizer.model, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+        self[word] = ids
+        return ids
 
 
 class Encoder:
-    """Ids of whole texts. The vocabulary drops white space and never joins across it, so text is
-    encoded by the pieces between blanks, and pieces met before are looked up."""
+    """Ids of whole texts, as the library gives them.
+
+    The vocabulary drops white space and encodes words on their own, so a text is the sum of its
+    words. Texts with special tokens or odd separators go through the library whole.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[str, list[int]] = {}
-        self.blank = re.compile("[ \n\t\r]+")
+        self.words = Words(self.tokenizer)
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -47,15 +82,16 @@ class Encoder:
         return _ENCODERS[path]
 
     def ids(self, text: str) -> np.ndarray:
-        pieces = self.blank.split(text)
-        new = list(set(pieces).difference(self.seen))
-        if new:
-            if len(self.seen) > CACHED_WORDS:
-                self.seen = {}
-                new = list(set(pieces))
-            for piece, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.seen[piece] = coded.ids
-        return np.fromiter(chain.from_iterable(map(self.seen.__getitem__, pieces)), dtype="<u4")
+        # The four separators split for Python but are no white space to the vocabulary.
+        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        try:
+            text.encode("latin-1")
+            plain, marks = text.lower(), _LATIN_MARKS
+        except UnicodeEncodeError:
+            plain, marks = self.tokenizer.normalizer.normalize_str(text), _MARKS
+        words = _PIECES.findall(plain) if "'" in plain else marks.sub(r" \1 ", plain).split()
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype="<u4")
 
 
 def token_runs(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:

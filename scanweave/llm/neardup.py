@@ -201,7 +201,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
                 sets = [shingles(t, words).view(np.int64) for t in part["text"]]
                 yield part.drop(columns="text").assign(found=sets)
 
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(members, ["doc_id", "text_hash"])
+    # Merged at every size: texts meet their groups by the same plan on small and large tables.
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(members.hint("merge"), ["doc_id", "text_hash"])
     full = (texts.dropDuplicates(["rep"]).select("rep", "cluster", "n", "text")
             .mapInPandas(again, "rep long, cluster long, n long, found array<long>"))
     full = _paired(full, F.ceil(F.col("n") / SET_BLOCK), "cluster").drop("n")
@@ -240,4 +241,4 @@ def _unique_names(classes: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Rows of `docs`, all columns, of the documents kept by `near_duplicates`."""
     gone = settled(near_duplicates(docs, words, percent).filter(~F.col("kept")).select("doc_id", F.col("text_hash").alias("_hash")).distinct())
-    return docs.withColumn("_hash", F.xxhash64("text")).join(gone, ["doc_id", "_hash"], "left_anti").select(*docs.columns)
+    return docs.withColumn("_hash", F.xxhash64("text")).join(gone.hint("merge"), ["doc_id", "_hash"], "left_anti").select(*docs.columns)

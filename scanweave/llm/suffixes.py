@@ -226,11 +226,16 @@ def _located(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    before = LENGTH - GRAM
     for batch in batches:
-        for doc, text, value, places in zip(batch["id"], batch["text_hash"], batch["text"], batch["places"]):
-            raw = (value or "").encode("utf-8", "replace")
-            rows = [(p["h"], doc, text, p["pos"], raw[max(0, p["pos"] - (LENGTH - GRAM)):p["pos"]], raw[p["pos"]:p["pos"] + LENGTH]) for p in places]
-            yield pd.DataFrame(rows, columns=["h", "id", "text_hash", "pos", "prefix", "suffix"])
+        raws = [(value or "").encode("utf-8", "replace") for value in batch["text"]]
+        counts = [len(pos) for pos in batch["pos"]]
+        pos = np.concatenate([np.zeros(0, np.int64), *batch["pos"]])
+        yield pd.DataFrame({
+            "h": np.concatenate([np.zeros(0, np.int64), *batch["h"]]), "id": np.repeat(batch["id"].to_numpy(), counts),
+            "text_hash": np.repeat(batch["text_hash"].to_numpy(), counts), "pos": pos,
+            "prefix": [raw[max(0, p - before):p] for raw, places in zip(raws, batch["pos"]) for p in places],
+            "suffix": [raw[p:p + LENGTH] for raw, places in zip(raws, batch["pos"]) for p in places]})
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -245,7 +250,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     several = kinds.join(mixed, "h").select("h", "kinds", "first.*")
     by_doc = several.groupBy("id", "text_hash").agg(F.collect_list(F.struct("h", "pos")).alias("places"))
-    around = settled(docs.join(by_doc, ["id", "text_hash"]).select("id", "text_hash", "text", "places").mapInPandas(_contexts, _CONTEXT))
+    # Texts are merged with their places at every size, so small and large tables share one plan.
+    around = settled(docs.join(by_doc.hint("merge"), ["id", "text_hash"])
+                     .select("id", "text_hash", "text", F.col("places.h").alias("h"), F.col("places.pos").alias("pos")).mapInPandas(_contexts, _CONTEXT))
     hot = settled(mixed.filter(F.col("kinds") > CLASS_ROWS).select("h"))
     buckets = max(1, -(-around.count() // BUCKET_ROWS))
     sorted_ = (around.join(hot, "h", "left_anti").withColumn("_bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
@@ -261,10 +268,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         n_bytes, spans_out, kept_out = [], [], []
-        for value, spans in zip(batch["text"], batch["spans"]):
+        for value, starts, ends in zip(batch["text"], batch["starts"], batch["ends"]):
             raw = (value or "").encode("utf-8", "replace")
             merged: list[list[int]] = []
-            for start, end in sorted((s["start"], min(s["end"], len(raw))) for s in (spans if spans is not None else ())):
+            for start, end in [] if starts is None else sorted(zip(starts.tolist(), np.minimum(ends, len(raw)).tolist())):
                 if merged and start <= merged[-1][1]:
                     merged[-1][1] = max(end, merged[-1][1])
                 else:
@@ -273,7 +280,7 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n_bytes.append(len(raw))
             spans_out.append([{"start": s, "end": e} for s, e in merged])
             kept_out.append(b"".join(raw[edges[i]:edges[i + 1]] for i in range(0, len(edges), 2)))
-        yield batch.drop(columns=["text", "spans"]).assign(n_bytes=n_bytes, spans=spans_out, kept=kept_out).astype({"doc_id": "Int64"})
+        yield batch.drop(columns=["text", "starts", "ends"]).assign(n_bytes=n_bytes, spans=spans_out, kept=kept_out).astype({"doc_id": "Int64"})
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -287,7 +294,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("text_hash"), "text")
     spans = (repeated_spans(keyed.select("id", "text_hash", "text")).groupBy("id", "text_hash")
              .agg(F.collect_set(F.struct("start", "end")).alias("spans")))
-    cut = keyed.join(spans, ["id", "text_hash"], "left").select("doc_id", "text_hash", "text", "spans")
+    cut = keyed.join(spans.hint("merge"), ["id", "text_hash"], "left").select(
+        "doc_id", "text_hash", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
     return cut.mapInPandas(_cut, "doc_id long, text_hash long, n_bytes long, spans array<struct<start long, end long>>, kept binary")
 
 
@@ -305,10 +313,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
              .agg(F.collect_set(F.struct("start", "end")).alias("_spans")).withColumnsRenamed({"id": "_id", "text_hash": "_hash"}))
 
     @F.pandas_udf("string")
-    def shorter(text: pd.Series, spans: pd.Series) -> pd.Series:
-        frame = pd.DataFrame({"doc_id": 0, "text": text, "spans": spans})
+    def shorter(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        frame = pd.DataFrame({"doc_id": 0, "text": text, "starts": starts, "ends": ends})
         kept = next(_cut(iter([frame])))["kept"]
         return pd.Series([None if t is None else k.decode("utf-8", "ignore") for t, k in zip(text, kept)])
 
-    cut = keyed.join(spans, ["_id", "_hash"], "left").withColumn("text", shorter("text", "_spans"))
+    cut = keyed.join(spans.hint("merge"), ["_id", "_hash"], "left").withColumn("text", shorter("text", "_spans.start", "_spans.end"))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

@@ -20,7 +20,7 @@ from scanweave.llm.common import fold, settled
 
 #: Training sample: rows with the smallest hashed ids. Scoring and everything else covers all rows.
 POSITIVES = 3_000
-UNLABELLED = 12_000
+UNLABELLED = 8_000
 BUCKETS = 1 << 20
 STARTS, LEVELS = (4, 6), (2, 4, 8)
 FEATURES = 512
@@ -47,7 +47,7 @@ def word_set(text: str | None) -> np.ndarray:
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"positive": batch["positive"], "words": [word_set(t).astype(np.int32) for t in batch["text"]]})
+        yield pd.DataFrame({"positive": batch["positive"], "words": [word_set(t).astype("<i4").tobytes() for t in batch["text"]]})
 
 
 class Model:
@@ -67,7 +67,7 @@ class Model:
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
     """Fit MEMBERS classifiers by non-negative risk on bootstrap samples; same input, same model."""
     def counts(sets):
-        return np.bincount(np.concatenate([np.zeros(0, np.int64), *sets]), minlength=BUCKETS)
+        return np.bincount(np.concatenate([np.zeros(0, np.int32), *sets]), minlength=BUCKETS)
 
     n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
     in_p, in_u = counts(positive), counts(unlabelled)
@@ -131,9 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model | None:
 
     ids = settled(some(known.filter("toxic = 1"), POSITIVES, 1).unionByName(
         some(docs.filter(usable & F.col("doc_id").isNotNull()), UNLABELLED, 0)))
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInPandas(_sets, "positive int, words array<int>")
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInPandas(_sets, "positive int, words binary")
     rows = sample.collect()
-    sets = {k: sorted((np.array(r["words"], dtype=np.int64) for r in rows if r["positive"] == k), key=lambda a: a.tobytes()) for k in (0, 1)}
+    sets = {k: [np.frombuffer(w, dtype="<i4") for w in sorted(bytes(r["words"]) for r in rows if r["positive"] == k)] for k in (0, 1)}
     if not sets[1] or not sets[0]:
         return None
     return train(sets[1], sets[0], prior)

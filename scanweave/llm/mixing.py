@@ -18,7 +18,7 @@ BINS = 16
 STEPS = 40
 SETTLED = 1e-6
 #: Target weights of the expected tokens.
-TARGETS = {"good": 0.90, "poor": 0.07, "toxic": 0.03}
+TARGETS = {"good": 0.90, "poor": 0.10}
 MEASURES = ("size", "upper", "marks", "high", "long", "lines")
 
 
@@ -96,9 +96,9 @@ def fit_rates(rows: DataFrame, targets: list[float]) -> Column:
 
     Minimises the distance of the expected domain tokens to the targets over nonnegative rates. The
     gradient is scaled by the domains' second moments over the documents whose rate is above zero,
-    and every step is projected to rates of at least zero. The targets' total is the largest at
-    which no domain needs more tokens than it has. Stops when all totals meet the targets, nothing
-    moves, or after STEPS steps.
+    and every step is projected to rates of at least zero. The domain with the largest target is
+    taken once, which sets the total; the others follow, less or more often. Stops when all totals
+    meet the targets, nothing moves, or after STEPS steps.
     """
     k = range(len(targets))
     share = [F.col("posterior")[i] for i in k]
@@ -116,7 +116,7 @@ def fit_rates(rows: DataFrame, targets: list[float]) -> Column:
     if found is None:
         return F.lit(1.0)
     weight = np.array(targets)
-    goal = weight * (found[0] / weight).min()
+    goal = weight * found[0][weight.argmax()] / weight.max()
     for _ in range(STEPS):
         now, moments = found
         if np.abs(now - goal).max() <= SETTLED * goal.sum():

@@ -101,7 +101,7 @@ def test_mixing(spark, documents):
 
 
 def test_rates_solve_least_squares(spark):
-    """Against projected gradient descent in numpy, where a target cannot be met with equality."""
+    """The totals meet the goal with nonnegative rates, some of them zero."""
     from scanweave.llm.mixing import fit_rates
     from scanweave.session import cut
 
@@ -113,7 +113,7 @@ def test_rates_solve_least_squares(spark):
     got = np.array([(r["tokens"], r["rate"], *r["posterior"]) for r in df.withColumn("rate", fit_rates(df, targets)).collect()])
     totals = (got[:, 2:] * got[:, :1] * got[:, 1:2]).sum(axis=0)
     have = (p * tokens[:, None]).sum(axis=0)
-    goal = np.array(targets) * (have / targets).min()
+    goal = np.array(targets) * have[0] / targets[0]
     assert np.allclose(totals, goal, rtol=1e-3) and (got[:, 1] >= 0).all()
 
 
@@ -127,6 +127,8 @@ def test_pipeline(spark):
 
         before = docs
         docs = cut(stage(spark, docs, SF))
+        if name == "mixing":  # most documents are of the heaviest domain and stay
+            assert docs.count() >= 0.8 * before.count()
         if name != "packing":
             assert docs.columns == columns and docs.count() > 0
             ids = {r["doc_id"] for r in docs.select("doc_id").collect()}

@@ -21,7 +21,9 @@ ROW_BLOCK = 4_096
 MAXSCORE_ROWS = 2_048
 SEED = 7
 #: Width of the error interval in standard errors of the estimate; wider reranks more rows.
-WIDTH = 4.0
+WIDTH = 3.5
+#: Bits of a code; vectors of fewer dimensions are turned into so many, which narrows the interval.
+CODE_BITS = 512
 CENTRE_SAMPLE = 10_000
 
 
@@ -32,9 +34,10 @@ def usable(vector: Column, zero: bool) -> Column:
 
 
 def rotation(dim: int) -> np.ndarray:
-    """A random orthogonal matrix, the same everywhere."""
-    q, r = np.linalg.qr(np.random.default_rng([SEED, dim]).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """Orthonormal rows that turn `dim` dimensions at random into the bits of a code, the same everywhere."""
+    bits = max(CODE_BITS, -(-dim // 8) * 8)
+    q, r = np.linalg.qr(np.random.default_rng([SEED, dim]).standard_normal((bits, dim)))
+    return (q * np.sign(np.diag(r))).T
 
 
 def encode(vectors: np.ndarray, centre: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -42,17 +45,17 @@ def encode(vectors: np.ndarray, centre: np.ndarray) -> tuple[list[bytes], np.nda
     residual = vectors - centre
     norm = np.linalg.norm(residual, axis=1)
     unit = residual / np.where(norm > 0, norm, 1)[:, None] @ rotation(vectors.shape[1])
-    bits = np.packbits(unit > 0, axis=1)
-    return [row.tobytes() for row in bits], norm, np.abs(unit).sum(axis=1) / math.sqrt(vectors.shape[1])
+    packed = np.packbits(unit > 0, axis=1)
+    return [row.tobytes() for row in packed], norm, np.abs(unit).sum(axis=1) / math.sqrt(unit.shape[1])
 
 
 def distance_bounds(queries: np.ndarray, centre: np.ndarray, bits: np.ndarray, norm: np.ndarray,
                     overlap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of the squared distance, queries by rows."""
-    dim = queries.shape[1]
     residual = queries - centre
     far = np.linalg.norm(residual, axis=1)
-    turned = residual / np.where(far > 0, far, 1)[:, None] @ rotation(dim)
+    turned = residual / np.where(far > 0, far, 1)[:, None] @ rotation(queries.shape[1])
+    dim = turned.shape[1]
     signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float64) * 2 - 1
     safe = np.where(overlap > 0, overlap, 1)
     cosine = turned @ signs.T / math.sqrt(dim) / safe

@@ -238,7 +238,7 @@ def test_bounds_hold():
     low, high = distance_bounds(asked, centre, np.frombuffer(b"".join(codes), np.uint8).reshape(2000, -1), norm, overlap)
     true = ((asked[:, None] - rows[None]) ** 2).sum(axis=2)
     assert ((low <= true) & (true <= high)).mean() > 0.999
-    assert len(codes[0]) == 8
+    assert len(codes[0]) == 64
 
 
 def test_maxscore(spark, monkeypatch):

@@ -166,7 +166,7 @@ def k_nearest(queries: DataFrame, targets: DataFrame, k: int, cell: Column | flo
     t = targets.select("scan_id", "t_id", *[F.col(c).alias(f"t{c}") for c in XYZ])
     done: DataFrame | None = None
     size = F.lit(cell) if not isinstance(cell, Column) else cell
-    for _ in range(LEVELS):
+    while True:  # ends: once a cell spans the scan, every k-th distance lies within it
         placed = with_cell(t, size, at=[f"t{c}" for c in XYZ])
         met = with_block(with_cell(rest, size)).join(placed, ["scan_id", *CELL]).withColumn("dist", _gap())
         w = W.partitionBy("scan_id", "q_id").orderBy("dist", "t_id")
@@ -179,7 +179,6 @@ def k_nearest(queries: DataFrame, targets: DataFrame, k: int, cell: Column | flo
         if rest.isEmpty():
             return done
         size = size * 2
-    return done
 
 
 def within_radius(queries: DataFrame, targets: DataFrame, radius: float) -> DataFrame:

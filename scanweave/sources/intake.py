@@ -33,12 +33,14 @@ def indexed_mesh(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     vertices = rows.filter("item = 'vertex'").select("scan_id", F.col("id").alias("vertex_id"), "x", "y", "z")
     polygons = rows.filter("item = 'face'").select("scan_id", "id", "corners")
     count = vertices.groupBy("scan_id").agg(F.count("*").alias("_n"))
-    checked = polygons.join(count, "scan_id", "left")
+    # Each polygon owns a range of ids as wide as the scan's largest fan.
+    widest = polygons.groupBy("scan_id").agg(F.greatest(F.max(F.size("corners")), F.lit(1024)).alias("_wide"))
+    checked = polygons.join(count, "scan_id", "left").join(widest, "scan_id")
     valid = (F.size("corners") >= 3) & F.forall("corners", lambda c: (c >= 0) & (c < F.coalesce("_n", F.lit(0))))
     fan = F.transform(F.sequence(F.lit(1), F.size("corners") - 2), lambda k: F.struct(
         F.get(F.col("corners"), F.lit(0)).alias("v0"), F.get(F.col("corners"), k).alias("v1"), F.get(F.col("corners"), k + 1).alias("v2")))
-    faces = checked.filter(valid).select("scan_id", "id", F.posexplode(fan).alias("_k", "_t")).select(
-        "scan_id", (F.col("id") * 1024 + F.col("_k")).alias("face_id"), "_t.*", F.lit(False).alias("synthetic"))
+    faces = checked.filter(valid).select("scan_id", "id", "_wide", F.posexplode(fan).alias("_k", "_t")).select(
+        "scan_id", (F.col("id") * F.col("_wide") + F.col("_k")).alias("face_id"), "_t.*", F.lit(False).alias("synthetic"))
     return vertices, faces, checked.filter(~valid).select("scan_id", F.col("id").alias("face_id"))
 
 

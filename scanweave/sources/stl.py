@@ -10,6 +10,7 @@ import glob
 import os
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -126,12 +127,14 @@ class StlReader(DataSourceReader):
         """Record ranges of binary files, whole text files; parts of a scan are numbered on."""
         splits: list[Split] = []
         base: dict[str, int] = {}
-        for path in list_files(self.path, ".stl"):
+        paths = list_files(self.path, ".stl")
+        parts = Counter(map(scan_of, paths))
+        for path in paths:
             kind, count = stl_kind(path)
             scan = scan_of(path)
             first = base.get(scan, 0)
             if kind == "ascii":
-                count = sum(len(_VERTEX.findall(block)) for block in whole_lines(path)) // 3 if scan in base else 0
+                count = sum(len(_VERTEX.findall(block)) for block in whole_lines(path)) // 3 if parts[scan] > 1 else 0
                 splits.append(Split(path, kind, base=first))
             for start in range(0, count, self.split) if kind == "binary" else ():
                 splits.append(Split(path, kind, start, min(self.split, count - start), first))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scanweave.session import cut, prepare
+from scanweave.session import checkpoint_root, cut, prepare
 
 CHUNK_ROWS = 16_384
 
@@ -26,6 +26,17 @@ def settled(df: DataFrame) -> DataFrame:
     return out
 
 
+def forget(*tables: DataFrame) -> None:
+    """Remove settled tables that no later step reads; their successors are written tables themselves."""
+    for df in tables:
+        spark = df.sparkSession
+        root = checkpoint_root(spark)
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            if folder.rsplit("/", 1)[-1].startswith("cut-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{folder.rsplit('/', 1)[-1]}")
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold(modulus: int, doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo `modulus`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus

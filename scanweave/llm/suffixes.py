@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanweave.llm.common import settled
+from scanweave.llm.common import forget, settled
 
 LENGTH = 100
 GRAM = 32
@@ -240,29 +240,34 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, text_hash, start, end): bytes of repeats, overlapping, for `docs(id, text_hash, text)`."""
-    found = settled(docs.mapInPandas(_located, "id long, text_hash long, h long, around long, pos long"))
-    often = settled(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
-    found = settled(found.join(often, "h"))
+    everywhere = settled(docs.mapInPandas(_located, "id long, text_hash long, h long, around long, pos long"))
+    often = settled(everywhere.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
+    found = settled(everywhere.join(often, "h"))
+    forget(everywhere, often)
     place = F.struct("id", "text_hash", "pos")
     kinds = settled(found.groupBy("h", "around").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    copies = (found.join(kinds.filter("n > 1"), ["h", "around"]).filter(place != F.col("first"))
-              .select("id", "text_hash", F.greatest(F.col("pos") - (LENGTH - GRAM), F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("end")))
-    mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    several = kinds.join(mixed, "h").select("h", "kinds", "first.*")
+    copies = settled(found.join(kinds.filter("n > 1"), ["h", "around"]).filter(place != F.col("first"))
+                     .select("id", "text_hash", F.greatest(F.col("pos") - (LENGTH - GRAM), F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("end")))
+    forget(found)
+    mixed = settled(kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
+    several = kinds.join(mixed, "h").select("h", "first.*")
     by_doc = several.groupBy("id", "text_hash").agg(F.collect_list(F.struct("h", "pos")).alias("places"))
     # Texts are merged with their places at every size, so small and large tables share one plan.
     around = settled(docs.join(by_doc.hint("merge"), ["id", "text_hash"])
                      .select("id", "text_hash", "text", F.col("places.h").alias("h"), F.col("places.pos").alias("pos")).mapInPandas(_contexts, _CONTEXT))
+    forget(kinds)
     hot = settled(mixed.filter(F.col("kinds") > CLASS_ROWS).select("h"))
     buckets = max(1, -(-around.count() // BUCKET_ROWS))
-    sorted_ = (around.join(hot, "h", "left_anti").withColumn("_bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-               .groupBy("_bucket").applyInPandas(_shared, _SPAN))
+    sorted_ = settled(around.join(hot, "h", "left_anti").withColumn("_bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+                      .groupBy("_bucket").applyInPandas(_shared, _SPAN))
     windows = settled(around.join(hot, "h", "left_semi").mapInPandas(_windows, "h long, before int, window long, id long, text_hash long, pos long"))
+    forget(around, mixed, hot)
     firsts = windows.groupBy("h", "before", "window").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    hashed = (windows.join(firsts, ["h", "before", "window"]).filter(place != F.col("first"))
-              .groupBy("id", "text_hash", "pos").agg(F.max("before").alias("most"), F.min("before").alias("least"))
-              .select("id", "text_hash", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + LENGTH).alias("end")))
-    return settled(copies.unionByName(sorted_).unionByName(hashed))
+    hashed = settled(windows.join(firsts, ["h", "before", "window"]).filter(place != F.col("first"))
+                     .groupBy("id", "text_hash", "pos").agg(F.max("before").alias("most"), F.min("before").alias("least"))
+                     .select("id", "text_hash", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + LENGTH).alias("end")))
+    forget(windows)
+    return copies.unionByName(sorted_).unionByName(hashed)
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -121,11 +121,14 @@ def fill_holes(vertices: DataFrame, faces: DataFrame, max_perimeter: float) -> F
     centre = frame.join(lift, ["scan_id", "loop_id"], "left").join(radius, ["scan_id", "loop_id"])
     usable = (F.col("n") >= 12) & F.col("f").isNotNull() & (F.abs("f") <= 0.5 * F.col("radius"))
     by = F.when(usable, F.col("f")).otherwise(0.0)
-    # New ids follow from the loop: negative and unique within the scan.
-    new_id = -1 - F.col("loop_id")
-    added = centre.select("scan_id", new_id.alias("vertex_id"), *(vec("c") + vec("m") * by).named())
-    fan = rim.join(chosen.select("scan_id", "loop_id"), ["scan_id", "loop_id"], "left_semi").select(
-        "scan_id", (-1 - F.col("vertex_id")).alias("face_id"), F.col("next_id").alias("v0"), F.col("vertex_id").alias("v1"), new_id.alias("v2"),
+    # New ids follow from the loop and its vertices, below every id in use: unique when a filled mesh is filled again.
+    lowest = lambda df, c: df.groupBy("scan_id").agg(F.least(F.min(c), F.lit(0)).alias(f"_low_{c}"))
+    base = cut(lowest(at, "vertex_id").join(lowest(faces, "face_id"), "scan_id"))
+    new_id = 2 * F.col("_low_vertex_id") - 1 - F.col("loop_id")
+    added = centre.join(base, "scan_id").select("scan_id", new_id.alias("vertex_id"), *(vec("c") + vec("m") * by).named())
+    new_face = F.col("_low_face_id") + F.col("_low_vertex_id") - 1 - F.col("vertex_id")
+    fan = rim.join(chosen.select("scan_id", "loop_id"), ["scan_id", "loop_id"], "left_semi").join(base, "scan_id").select(
+        "scan_id", new_face.alias("face_id"), F.col("next_id").alias("v0"), F.col("vertex_id").alias("v1"), new_id.alias("v2"),
         F.lit(True).alias("synthetic"))
     return Filled(at.unionByName(added), faces.select("scan_id", "face_id", "v0", "v1", "v2", "synthetic").unionByName(fan), loops)
 

@@ -24,7 +24,7 @@ def windowed(df: DataFrame, halo: int, exprs: dict, keys: list[str] | None = Non
     """Add columns computed over neighbouring rows of a chain.
 
     `exprs` maps a name to a function of the ordered window specification; frames may reach
-    `halo` rows to either side. Closed chains continue at the other end.
+    `halo` rows to either side. Closed chains continue at the other end, as often as it takes.
     """
     keys = keys or CHAIN
     names = df.columns
@@ -32,12 +32,8 @@ def windowed(df: DataFrame, halo: int, exprs: dict, keys: list[str] | None = Non
     if closed:
         n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
         df = df.join(n, keys)
-        none = F.lit(None).cast("long")
-        at = F.filter(F.array(
-            F.col("pos").cast("long"),
-            F.when(F.col("pos") < halo, F.col("pos") + F.col("_n")).otherwise(none),
-            F.when(F.col("pos") >= F.col("_n") - halo, F.col("pos") - F.col("_n")).otherwise(none),
-        ), lambda p: p.isNotNull())
+        first, last = F.ceil((-halo - F.col("pos")) / F.col("_n")), F.floor((F.col("_n") - 1 + halo - F.col("pos")) / F.col("_n"))
+        at = F.transform(F.sequence(first, last), lambda turn: F.col("pos") + turn * F.col("_n"))
     rows = df.withColumn("_p", F.explode(at))
     reach = F.array_distinct(F.array(*[F.floor((F.col("_p") + d) / block) for d in (-halo, 0, halo)]))
     rows = rows.withColumn("_block", F.explode(reach))

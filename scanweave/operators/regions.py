@@ -10,7 +10,6 @@ KEY = ["scan_id", "face_id"]
 
 # Fixed values.
 MATCH_IOU = 0.5
-MAX_REGIONS = 65_534
 
 
 def label_sizes(labels: DataFrame, areas: DataFrame) -> DataFrame:
@@ -52,8 +51,7 @@ def match_regions(pairs: DataFrame) -> DataFrame:
 def free_labels(used: DataFrame, wanted: DataFrame) -> DataFrame:
     """The smallest free labels per scan with their rank from 1.
 
-    `wanted(scan_id, n)`. The n smallest free labels lie in 1 … n + used, so the range
-    stays within twice the label limit.
+    `wanted(scan_id, n)`. The n smallest free labels lie in 1 … n + used.
     """
     taken = used.select("scan_id", "label").filter("label > 0").distinct()
     counts = taken.groupBy("scan_id").agg(F.count("*").alias("_used"))
@@ -62,12 +60,12 @@ def free_labels(used: DataFrame, wanted: DataFrame) -> DataFrame:
     )
     rank = F.row_number().over(W.partitionBy("scan_id").orderBy("label"))
     return span.join(taken, ["scan_id", "label"], "left_anti").withColumn("rank", rank).filter(
-        (F.col("rank") <= F.col("n")) & (F.col("label") <= MAX_REGIONS)
+        F.col("rank") <= F.col("n")
     ).select("scan_id", "label", "rank")
 
 
 def compact_labels(labels: DataFrame) -> DataFrame:
-    """Renumber labels by descending size; a scan has at most 65,534 of them."""
+    """Renumber labels by descending size."""
     sizes = labels.filter("label > 0").groupBy("scan_id", "label").agg(F.count("*").alias("n"))
     order = W.partitionBy("scan_id").orderBy(F.desc("n"), "label")
     ranks = sizes.select("scan_id", "label", F.row_number().over(order).alias("new_label"))

@@ -38,7 +38,7 @@ def grow_components(seeds: DataFrame, faces: DataFrame, pairs: DataFrame) -> Dat
     return parts.join(hit, ["scan_id", "part"]).select("scan_id", "seed", "face_id")
 
 
-def grow_normal(seeds: DataFrame, pairs: DataFrame, normals: DataFrame, max_angle_deg: float, waves: int = 10_000) -> DataFrame:
+def grow_normal(seeds: DataFrame, pairs: DataFrame, normals: DataFrame, max_angle_deg: float) -> DataFrame:
     """`(scan_id, seed, face_id)`: connected faces whose normal lies within an angle of the seed's.
 
     Every seed has its own cone, so the frontier carries the seed; seeds grow side by side.
@@ -50,13 +50,12 @@ def grow_normal(seeds: DataFrame, pairs: DataFrame, normals: DataFrame, max_angl
     other = normals.select("scan_id", F.col("face_id").alias("other"), *[f"n{c}" for c in "xyz"])
     seen = cut(seeds.select("scan_id", F.col("face_id").alias("seed"), "face_id"))
     frontier = seen
-    for _ in range(waves):
+    while True:
         reached = frontier.join(links, KEY).join(seed_normal, ["scan_id", "seed"]).join(other, ["scan_id", "other"]).filter(vec("n").dot(vec("s")) > limit)
         frontier = cut(reached.select("scan_id", "seed", F.col("other").alias("face_id")).distinct().join(seen, ["scan_id", "seed", "face_id"], "left_anti"))
         if frontier.isEmpty():
             return seen
         seen = cut(seen.unionByName(frontier))
-    return seen
 
 
 def fill_wave(labels: DataFrame, links: DataFrame, normals: DataFrame) -> DataFrame:
@@ -71,15 +70,13 @@ def fill_wave(labels: DataFrame, links: DataFrame, normals: DataFrame) -> DataFr
     return labels.join(best, KEY, "left").select(*KEY, F.coalesce("_new", "label").alias("label"))
 
 
-def fill_unassigned(labels: DataFrame, links: DataFrame, normals: DataFrame, centroids: DataFrame, waves: int = 500) -> DataFrame:
+def fill_unassigned(labels: DataFrame, links: DataFrame, normals: DataFrame, centroids: DataFrame) -> DataFrame:
     """Waves of `fill_wave` until nothing changes; islands join the nearest region within reach."""
     from scanweave.operators.spatial import nearest
 
     labels = cut(labels)
     left = labels.filter("label = 0").count()
-    for _ in range(waves):
-        if left == 0:
-            break
+    while left > 0:
         labels = cut(fill_wave(labels, links, normals))
         now = labels.filter("label = 0").count()
         if now == left:

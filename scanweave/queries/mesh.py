@@ -56,8 +56,9 @@ def _(t):
     return mesh.edges(t.dirty_faces.filter("face_id < 1000000000")).select("scan_id", "lo", "hi", "valence")
 
 
-@query("j03_neighbour_table", sql("""SELECT h.scan_id, h.face_id, h.slot, o.face_id AS other FROM half_edges h
-    JOIN half_edges o ON o.src = h.dst AND o.dst = h.src"""))
+@query("j03_neighbour_table", sql("""SELECT scan_id, face_id, slot, total - face_id AS other FROM e
+    WHERE n = 2 AND low <> high""", e="""SELECT *, count(*) OVER edge AS n, sum(face_id) OVER edge AS total, min(src) OVER edge AS low,
+        max(src) OVER edge AS high FROM half_edges WINDOW edge AS (PARTITION BY scan_id, least(src, dst), greatest(src, dst))"""))
 def _(t):
     return mesh.neighbours(mesh.face_pairs(t.faces))
 

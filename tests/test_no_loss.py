@@ -30,3 +30,28 @@ def test_parts_of_an_ascii_scan_are_numbered_on(tmp_path):
         (tmp_path / folder / "part.stl").write_text("solid x\n" + facet * n + "endsolid x\n")
     splits = StlReader({"path": str(tmp_path)}).partitions()
     assert [s.base for s in splits] == [0, 3, 5]
+
+
+def test_short_rings_wrap_around_as_often_as_needed(spark):
+    from scanweave.operators.polylines import windowed
+
+    ring = spark.createDataFrame([("s", 1, p, float(p), 0.0) for p in range(3)], "scan_id string, chain_id long, pos long, u double, v double")
+    total = {"total": lambda w: F.sum("u").over(w.rowsBetween(-4, 4)), "n": lambda w: F.count("*").over(w.rowsBetween(-4, 4))}
+    got = {r["pos"]: (r["total"], r["n"]) for r in windowed(ring, 4, total, closed=True).collect()}
+    assert got == {p: (float(sum((p + d) % 3 for d in range(-4, 5))), 9) for p in range(3)}
+
+
+def test_a_mesh_can_be_filled_again(spark):
+    from scanweave.operators.loops import fill_holes
+
+    at = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
+    sides = [(0, 1, 5), (0, 5, 4), (1, 2, 6), (1, 6, 5), (2, 3, 7), (2, 7, 6), (3, 0, 4), (3, 4, 7)]
+    vertices = spark.createDataFrame([("s", i, *map(float, p)) for i, p in enumerate(at)], "scan_id string, vertex_id long, x double, y double, z double")
+    faces = spark.createDataFrame([("s", i, *f, False) for i, f in enumerate(sides)], "scan_id string, face_id long, v0 long, v1 long, v2 long, synthetic boolean")
+    once = fill_holes(vertices, faces, 5.0)
+    assert once.faces.count() == 16
+    # One fan opens again at a vertex that was added, so a loop meets ids of the first filling.
+    torn = once.faces.filter("face_id >= 0 OR face_id % 2 = 0")
+    twice = fill_holes(once.vertices, torn, 50.0)
+    for table, key in ((twice.vertices, "vertex_id"), (twice.faces, "face_id")):
+        assert table.count() == table.select(key).distinct().count()

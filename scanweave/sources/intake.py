@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scanweave.functions import snapping as sn
 from scanweave.operators import mesh, repair
-from scanweave.sources.stl import MAX_BYTES, SUFFIXES
+from scanweave.sources.stl import SUFFIXES
 
 # Fixed values.
 METRES_BELOW_DIAGONAL = 2.0
@@ -15,10 +15,10 @@ MAX_WORKING_FACES = 2_000_000
 
 
 def file_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file from its metadata: suffix and size checks; contents are not read."""
+    """One row per file from its metadata: its suffix decides; contents are not read and any size is taken."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    verdict = F.when(F.col("length") > MAX_BYTES, "file_too_large").when(~suffix.isin(*SUFFIXES), "unsupported_format").otherwise("ok")
+    verdict = F.when(~suffix.isin(*SUFFIXES), "unsupported_format").otherwise("ok")
     return files.select("path", "length", suffix.alias("suffix"), verdict.alias("verdict"))
 
 

@@ -1,7 +1,7 @@
 """Mesh files as Spark data sources: `scan_stl` (read and write), `scan_obj`, `scan_ply`.
 
 Paths must be visible to every executor (a mounted share or a distributed file system with a
-mount). A binary STL file has records of fixed size, so one large file is read by many tasks.
+mount). One large STL file is read by many tasks: record ranges of binary files, byte ranges of text.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ import glob
 import os
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-# The binary STL layout and the import limits.
+# The binary STL layout and the faces of a written file.
 STL_HEADER_BYTES = 84
 STL_RECORD = np.dtype([("normal", "<f4", 3), ("corners", "<f4", (3, 3)), ("attribute", "<u2")])
 MAX_FACES = 10_000_000
-MAX_BYTES = 1 << 30
 SUFFIXES = (".stl", ".obj", ".ply")
 
 RECORDS_PER_SPLIT = 500_000
 RECORDS_PER_BATCH = 50_000
+BYTES_PER_SPLIT = 128 << 20
 BLOCK_BYTES = 16 << 20
 
 _CORNERS = [f"{c}{a}" for c in "abc" for a in "xyz"]
@@ -35,36 +34,63 @@ SOUP_SCHEMA = "scan_id string, face_id long, " + ", ".join(f"{c} double" for c i
 INDEXED_SCHEMA = "scan_id string, item string, id long, x double, y double, z double, corners array<long>"
 
 
-def scan_of(path: str) -> str:
-    """Scan id of a file: its name without suffix and without a part number."""
-    stem = os.path.splitext(os.path.basename(path))[0]
-    return re.sub(r"\.part-\d+$", "", stem)
+def list_files(path: str, suffix: str) -> list[tuple[str, str]]:
+    """(scan id, file) for a folder or a pattern, in order of the files.
 
-
-def list_files(path: str, suffix: str) -> list[str]:
+    The id is the path below the folder, without suffix and part number, so files of one name in
+    different folders are different scans.
+    """
     if os.path.isdir(path):
-        return sorted(glob.glob(os.path.join(glob.escape(path), f"**/*{suffix}"), recursive=True))
-    return sorted(glob.glob(path))
+        root, pattern = path, os.path.join(glob.escape(path), f"**/*{suffix}")
+    else:
+        root, pattern = os.path.dirname(re.split(r"[*?[]", path)[0]), path
+    files = sorted(glob.glob(pattern, recursive=True))
+    names = [os.path.splitext(os.path.relpath(f, root or ".").replace(os.sep, "/"))[0] for f in files]
+    return [(re.sub(r"\.part-\d+$", "", name), f) for name, f in zip(names, files)]
+
+
+@dataclass
+class StlHeader:
+    """What the first bytes and the size of a file say about it."""
+
+    name: str
+    size: int
+    lead: bytes
+
+    @classmethod
+    def of(cls, path: str) -> StlHeader:
+        with open(path, "rb") as handle:
+            return cls(os.path.basename(path), os.fstat(handle.fileno()).st_size, handle.read(STL_HEADER_BYTES))
+
+    @property
+    def records(self) -> int:
+        """The record count behind the 80 free bytes; -1 in a file too short to hold one."""
+        return int.from_bytes(self.lead[-4:], "little") if len(self.lead) == STL_HEADER_BYTES else -1
+
+    @property
+    def spare(self) -> int:
+        """Bytes beyond the records the count asks for; negative if some are missing."""
+        return self.size - STL_HEADER_BYTES - self.records * STL_RECORD.itemsize if self.records >= 0 else -1
+
+    @property
+    def is_text(self) -> bool:
+        """Text opens with the word solid. A count below 2**24 has a zero byte, which text never has."""
+        return self.lead.split(maxsplit=1)[:1] in ([b"solid"], [b"SOLID"], [b"Solid"]) and 0 not in self.lead
 
 
 def stl_kind(path: str) -> tuple[str, int]:
     """`binary` with its record count, or `ascii`; a file that is neither raises ValueError."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as handle:
-        head = handle.read(512)
-    count = int(np.frombuffer(head[80:84], "<u4")[0]) if len(head) >= STL_HEADER_BYTES else -1
-    needed = STL_HEADER_BYTES + count * STL_RECORD.itemsize
-    solid = head.lstrip()[:5].lower() == b"solid"
-    text = solid and b"facet" in head.lower()
-    if count >= 0 and (size == needed or (size > needed and not text)):
-        return "binary", count
-    if solid:
+    header = StlHeader.of(path)
+    if header.is_text and header.spare != 0:
         return "ascii", -1
-    raise ValueError(f"{os.path.basename(path)}: {count} records need {needed} bytes, the file has {size}")
+    if header.spare < 0:
+        raise ValueError(f"{header.name}: neither text nor {header.records} whole records in {header.size} bytes")
+    return "binary", header.records
 
 
 @dataclass
 class Split(InputPartition):
+    scan: str
     path: str
     kind: str
     start: int = 0
@@ -72,9 +98,9 @@ class Split(InputPartition):
     base: int = 0
 
 
-def _soup_batch(scan: str, first: int, corners: np.ndarray) -> pa.RecordBatch:
+def _soup_batch(scan: str, ids: np.ndarray, corners: np.ndarray) -> pa.RecordBatch:
     flat = corners.reshape(-1, 9).astype(np.float64)
-    columns = [pa.array([scan] * len(flat)), pa.array(np.arange(first, first + len(flat)))]
+    columns = [pa.array([scan] * len(flat)), pa.array(ids)]
     return pa.RecordBatch.from_arrays([*columns, *[pa.array(flat[:, k]) for k in range(9)]], names=["scan_id", "face_id", *_CORNERS])
 
 
@@ -84,61 +110,66 @@ def read_binary(split: Split) -> Iterator[pa.RecordBatch]:
         take = min(RECORDS_PER_BATCH, split.count - done)
         offset = STL_HEADER_BYTES + (split.start + done) * STL_RECORD.itemsize
         records = np.fromfile(split.path, dtype=STL_RECORD, count=take, offset=offset)
-        yield _soup_batch(scan_of(split.path), split.base + split.start + done, records["corners"])
+        yield _soup_batch(split.scan, split.base + split.start + done + np.arange(take), records["corners"])
         done += take
 
 
-def whole_lines(path: str) -> Iterator[bytes]:
-    rest = b""
-    with open(path, "rb") as handle:
-        while chunk := handle.read(BLOCK_BYTES):
-            data = rest + chunk
-            cut = data.rfind(b"\n") + 1
-            rest = data[cut:]
-            if cut:
-                yield data[:cut]
-    if rest:
-        yield rest
+# The words of a facet from its first corner on, with their places; the next word closes it.
+FACET_WORDS = {0: b"vertex", 4: b"vertex", 8: b"vertex", 12: b"endloop"}
+FACET_END = b"endfacet"
+_NUMBERS = [k for k in range(13) if k not in FACET_WORDS]
 
 
-_VERTEX = re.compile(rb"vertex\s+(\S+\s+\S+\s+\S+)", re.IGNORECASE)
+def _facet_corners(facets: list[bytes], name: str) -> np.ndarray:
+    tails = [facet.split()[-13:] for facet in facets]
+    if any(len(tail) < 13 or any(tail[k] != word for k, word in FACET_WORDS.items()) for tail in tails):
+        raise ValueError(f"{name}: incomplete facet")
+    return np.array([[tail[k] for k in _NUMBERS] for tail in tails]).astype(np.float32)
 
 
 def read_ascii(split: Split) -> Iterator[pa.RecordBatch]:
-    spare, first = np.zeros(0, dtype=np.float32), split.base
-    for block in whole_lines(split.path):
-        values = np.array(b" ".join(_VERTEX.findall(block)).split(), dtype=np.float32)
-        values = np.concatenate([spare, values])
-        whole = len(values) // 9 * 9
-        if whole:
-            yield _soup_batch(scan_of(split.path), first, values[:whole])
-            first += whole // 9
-        spare = values[whole:]
-    if len(spare):
-        raise ValueError(f"{os.path.basename(split.path)}: incomplete facet")
+    """The facets that open in a byte range: at the start of the file, or behind the end of a facet in the range.
+
+    The last one may reach beyond the range. A face id is the byte at which its facet is closed,
+    counted on over the parts of a scan: unique and in file order, though not without gaps.
+    """
+    name, stop = os.path.basename(split.path), split.start + split.count
+    opened, at, rest = split.start == 0, split.start, b""
+    with open(split.path, "rb") as handle:
+        handle.seek(split.start)
+        while chunk := handle.read(BLOCK_BYTES):
+            *facets, rest = (rest + chunk.lower()).split(FACET_END)
+            closed = at + np.cumsum([len(f) + len(FACET_END) for f in facets], dtype=np.int64)
+            ends = closed - len(FACET_END)
+            # Number of facets here whose predecessor ends in the range; the first carries `opened` on.
+            last = int(np.searchsorted(ends, stop))
+            own = slice(0 if opened else 1, min(last + 1, len(facets)))
+            if facets[own]:
+                yield _soup_batch(split.scan, split.base + ends[own], _facet_corners(facets[own], name))
+            if last < len(facets):
+                return
+            if facets:
+                opened, at = True, int(closed[-1])
+    if opened and b"normal" in rest.split():
+        raise ValueError(f"{name}: incomplete facet")
 
 
 class StlReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
         self.split = int(options.get("recordsPerSplit", RECORDS_PER_SPLIT))
+        self.bytes = int(options.get("bytesPerSplit", BYTES_PER_SPLIT))
 
     def partitions(self) -> list[Split]:
-        """Record ranges of binary files, whole text files; parts of a scan are numbered on."""
+        """Record ranges of binary files, byte ranges of text files; parts of a scan are numbered on."""
         splits: list[Split] = []
         base: dict[str, int] = {}
-        paths = list_files(self.path, ".stl")
-        parts = Counter(map(scan_of, paths))
-        for path in paths:
+        for scan, path in list_files(self.path, ".stl"):
             kind, count = stl_kind(path)
-            scan = scan_of(path)
+            total, step = (count, self.split) if kind == "binary" else (os.path.getsize(path), self.bytes)
             first = base.get(scan, 0)
-            if kind == "ascii":
-                count = sum(len(_VERTEX.findall(block)) for block in whole_lines(path)) // 3 if parts[scan] > 1 else 0
-                splits.append(Split(path, kind, base=first))
-            for start in range(0, count, self.split) if kind == "binary" else ():
-                splits.append(Split(path, kind, start, min(self.split, count - start), first))
-            base[scan] = first + max(count, 0)
+            splits += [Split(scan, path, kind, start, min(step, total - start), first) for start in range(0, total, step)]
+            base[scan] = first + total
         return splits
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
@@ -229,24 +260,22 @@ def _indexed(scan: str, item: str, first: int, points=None, corners=None) -> pa.
 def read_obj(split: Split) -> Iterator[pa.RecordBatch]:
     """Vertices and polygons in file order; `a/b/c` suffixes and colours are ignored, ids are
     0-based and negative references count back from the last vertex."""
-    scan, vertices, faces = scan_of(split.path), 0, 0
-    for block in whole_lines(split.path):
-        points, loops = [], []
-        for line in block.splitlines():
-            fields = line.split()
-            if not fields:
-                continue
-            if fields[0] == b"v":
-                points.append([float(v) for v in fields[1:4]])
-            elif fields[0] == b"f":
-                index = [int(f.split(b"/")[0]) for f in fields[1:]]
-                loops.append([i - 1 if i > 0 else vertices + len(points) + i for i in index])
-        if points:
-            yield _indexed(scan, "vertex", vertices, points=np.array(points))
-            vertices += len(points)
-        if loops:
-            yield _indexed(scan, "face", faces, corners=loops)
-            faces += len(loops)
+    scan, vertices, faces = split.scan, 0, 0
+    with open(split.path, "rb") as handle:
+        while lines := handle.readlines(BLOCK_BYTES):
+            points, loops = [], []
+            for fields in map(bytes.split, lines):
+                if fields[:1] == [b"v"]:
+                    points.append([float(v) for v in fields[1:4]])
+                elif fields[:1] == [b"f"]:
+                    index = [int(f.split(b"/")[0]) for f in fields[1:]]
+                    loops.append([i - 1 if i > 0 else vertices + len(points) + i for i in index])
+            if points:
+                yield _indexed(scan, "vertex", vertices, points=np.array(points))
+                vertices += len(points)
+            if loops:
+                yield _indexed(scan, "face", faces, corners=loops)
+                faces += len(loops)
 
 
 # The PLY scalar types.
@@ -258,7 +287,7 @@ PLY_TYPES = {
 
 def read_ply(split: Split) -> Iterator[pa.RecordBatch]:
     """ASCII and little-endian PLY with `vertex` and `face` elements."""
-    scan = scan_of(split.path)
+    scan = split.scan
     with open(split.path, "rb") as handle:
         elements, form = [], ""
         for raw in iter(handle.readline, b""):
@@ -317,8 +346,8 @@ class IndexedReader(DataSourceReader):
         self.path, self.suffix = options["path"], suffix
 
     def partitions(self) -> list[Split]:
-        # References are relative to the file, so a file is one partition (at most 1 GiB each).
-        return [Split(path, self.suffix) for path in list_files(self.path, self.suffix)]
+        # References are relative to the file, so a file is one partition.
+        return [Split(scan, path, self.suffix) for scan, path in list_files(self.path, self.suffix)]
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
         yield from (read_obj if self.suffix == ".obj" else read_ply)(partition)

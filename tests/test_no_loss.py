@@ -21,15 +21,46 @@ def test_wide_polygons_keep_their_ids_apart(spark):
     assert faces.count() == 1_099 and faces.select("face_id").distinct().count() == 1_099
 
 
-def test_parts_of_an_ascii_scan_are_numbered_on(tmp_path):
-    from scanweave.sources.stl import StlReader
+FACET = "facet normal 0 0 1\nouter loop\nvertex {0} 0 0\nvertex 1 0 0\nVertex 0 1 0\nendloop\nendfacet\n"
+
+
+def read_text_scans(spark, folder, step):
+    from scanweave.sources import stl
+
+    stl.register(spark)
+    rows = spark.read.format("scan_stl").option("bytesPerSplit", step).load(str(folder)).collect()
+    return sorted((r["scan_id"], r["face_id"], r["ax"]) for r in rows)
+
+
+def test_parts_of_an_ascii_scan_are_numbered_on(spark, tmp_path):
+    for part, n in enumerate((3, 2, 2)):
+        facets = "".join(FACET.format(10 * part + k) for k in range(n))
+        (tmp_path / f"x.part-{part}.stl").write_text(f"solid x\n{facets}endsolid x\nsolid y\nendsolid y\n")
+    whole = read_text_scans(spark, tmp_path, 1 << 20)
+    assert [r[2] for r in whole] == [0.0, 1.0, 2.0, 10.0, 11.0, 20.0, 21.0]
+    assert len({r[1] for r in whole}) == 7 and {r[0] for r in whole} == {"x"}
+    # Byte ranges of any width, also narrower than a facet or a word, give the same rows.
+    for step in (5, 37, 100, 101):
+        assert read_text_scans(spark, tmp_path, step) == whole
 
-    facet = "facet normal 0 0 1\nouter loop\nvertex 0 0 0\nvertex 1 0 0\nvertex 0 1 0\nendloop\nendfacet\n"
-    for folder, n in (("a", 3), ("b", 2), ("c", 2)):
+
+def test_equal_names_in_two_folders_are_two_scans(spark, tmp_path):
+    for folder in "ab":
         (tmp_path / folder).mkdir()
-        (tmp_path / folder / "part.stl").write_text("solid x\n" + facet * n + "endsolid x\n")
-    splits = StlReader({"path": str(tmp_path)}).partitions()
-    assert [s.base for s in splits] == [0, 3, 5]
+        (tmp_path / folder / "part.stl").write_text("solid x\n" + FACET.format(1) + "endsolid x\n")
+    assert [r[0] for r in read_text_scans(spark, tmp_path, 1 << 20)] == ["a/part", "b/part"]
+
+
+def test_incomplete_facets_are_refused(tmp_path):
+    import pytest
+    from scanweave.sources.stl import StlReader
+
+    whole = FACET.format(1)
+    for broken in (whole[:-10], whole.replace("vertex 1 0 0\n", ""), whole + "facet normal 0 0 1\n"):
+        (tmp_path / "x.stl").write_text("solid x\n" + broken)
+        reader = StlReader({"path": str(tmp_path)})
+        with pytest.raises(ValueError, match="incomplete facet"):
+            [list(reader.read(split)) for split in reader.partitions()]
 
 
 def test_short_rings_wrap_around_as_often_as_needed(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 from math import pi
 
 import numpy as np
@@ -19,9 +20,9 @@ from scanweave.session import cut
 DIRECTIONS = 2_000
 CONE_DEG = 15.0
 TUKEY = 4.685
-MAX_PLANES = 8
 MIN_AREA_SHARE = 0.02
 CELL = 0.1
+PLANES = "scan_id string, plane_id int, area double, faces long, rms double, px double, py double, pz double, qx double, qy double, qz double"
 
 
 def fibonacci_directions(spark: SparkSession, count: int = DIRECTIONS) -> DataFrame:
@@ -173,18 +174,20 @@ def robust_planes(points: DataFrame, keys: list[str], rounds: int = 8) -> DataFr
     return plane.join(rms, keys)
 
 
-def detect_planes(faces: DataFrame, band: float, rounds: int = MAX_PLANES) -> DataFrame:
+def detect_planes(faces: DataFrame, band: float) -> DataFrame:
     """Large planes of every scan, one per round: dominant direction, level band, robust refit.
 
     `faces(scan_id, face_id, area, g*, n*)`. Faces of a found plane leave the search; a scan
-    stops when its best direction covers less than two percent of its area.
+    stops when its best direction covers less than two percent of its area. Every round takes at
+    least the level of the best direction, so the search ends; without planes the result is empty.
     """
     total = cut(faces.groupBy("scan_id").agg(F.sum("area").alias("_total")))
-    rest, found = cut(faces), None
-    for number in range(rounds):
+    rest = cut(faces)
+    found = faces.sparkSession.createDataFrame([], PLANES)
+    for number in count():
         direction = cut(dominant_direction(rest).join(total, "scan_id").filter(F.col("area") >= MIN_AREA_SHARE * F.col("_total")).select("scan_id", "dx", "dy", "dz", "_total"))
         if direction.isEmpty():
-            break
+            return found
         facing = rest.join(direction, "scan_id").withColumn("_o", vec("g").dot(vec("d"))).filter(vec("n").dot(vec("d")) > F.cos(F.radians(F.lit(CONE_DEG))))
         level = level_peak(level_histogram(facing, F.col("_o"), F.col("area"), band), band).select("scan_id", "level")
         seed = facing.join(level, "scan_id").filter(F.abs(F.col("_o") - F.col("level")) <= 1.5 * band)
@@ -197,9 +200,8 @@ def detect_planes(faces: DataFrame, band: float, rounds: int = MAX_PLANES) -> Da
         size = members.groupBy("scan_id").agg(F.sum("area").alias("area"), F.count("*").alias("faces"))
         row = plane.join(size, "scan_id").join(total, "scan_id").filter(F.col("area") >= MIN_AREA_SHARE * F.col("_total")).select(
             "scan_id", F.lit(number).alias("plane_id"), "area", "faces", "rms", *[f"p{c}" for c in "xyz"], *[f"q{c}" for c in "xyz"])
-        found = cut(row) if found is None else cut(found.unionByName(row))
+        found = cut(found.unionByName(row))
         rest = cut(rest.join(taken, ["scan_id", "face_id"], "left_anti").join(direction.select("scan_id"), "scan_id", "left_semi"))
-    return found
 
 
 def cluster_directions(rows: DataFrame, tolerance_deg: float) -> DataFrame:

@@ -86,3 +86,13 @@ def test_a_mesh_can_be_filled_again(spark):
     twice = fill_holes(once.vertices, torn, 50.0)
     for table, key in ((twice.vertices, "vertex_id"), (twice.faces, "face_id")):
         assert table.count() == table.select(key).distinct().count()
+
+
+def test_every_large_plane_is_found(spark):
+    from scanweave.operators.directions import detect_planes
+
+    schema = "scan_id string, face_id long, area double, gx double, gy double, gz double, nx double, ny double, nz double"
+    plates = [("s", 9 * p + k, 1.0, float(k % 3), float(k // 3), 10.0 * p, 0.0, 0.0, 1.0) for p in range(9) for k in range(9)]
+    found = detect_planes(spark.createDataFrame(plates, schema), 0.3)
+    assert sorted(round(r["pz"]) for r in found.collect()) == [10 * p for p in range(9)]
+    assert detect_planes(spark.createDataFrame([], schema), 0.3).count() == 0

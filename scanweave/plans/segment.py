@@ -26,7 +26,6 @@ KEY = ["scan_id", "face_id"]
 RESIDUAL_ACCEPT = 1.5
 MIN_RESIDUAL_AREA = 2.0
 MAX_ANGLE_DEG = 10.0
-MERGE_SAMPLE = 2_000
 
 
 class Segmented(NamedTuple):
@@ -100,8 +99,7 @@ def merge_round(labels: DataFrame, fits: DataFrame, points: DataFrame, pairs: Da
     wish = sides.groupBy("scan_id", "me").agg(F.max_by(F.struct("low", "high"), order).alias("_w")).select("scan_id", "me", "_w.*")
     mutual = cut(wish.groupBy("scan_id", "low", "high").agg(F.count("*").alias("_n")).filter("_n = 2").drop("_n"))
     part = mutual.select("scan_id", "low", "high", F.explode(F.array("low", "high")).alias("label"))
-    sampled = ft.sample(points, ft.KEY, MERGE_SAMPLE, "point_id")
-    both = cut(sampled.join(part, ["scan_id", "label"]).withColumnsRenamed({"label": "_own", "low": "label"}))
+    both = cut(points.join(part, ["scan_id", "label"]).withColumnsRenamed({"label": "_own", "low": "label"}))
     kinds = mutual.join(fits.select("scan_id", F.col("label").alias("low"), "kind"), ["scan_id", "low"])
     union = ft.fit_own(both, kinds.select("scan_id", F.col("low").alias("label"), "kind"))
     shape = union.select(*ft.FIT, *[f"{a}{c}" for a in "on" for c in "xyz"], *ft._SIZES)
@@ -112,7 +110,7 @@ def merge_round(labels: DataFrame, fits: DataFrame, points: DataFrame, pairs: Da
     return moves, mutual
 
 
-def segment(vertices: DataFrame, faces: DataFrame, noise: float, sensitivity: float = 50.0, min_area: float = 1.0, merge_rounds: int = 8) -> Segmented:
+def segment(vertices: DataFrame, faces: DataFrame, noise: float, sensitivity: float = 50.0, min_area: float = 1.0) -> Segmented:
     """Labels per face (0 = none), largest region first, and the fit of every region."""
     grow, merge = tuning(sensitivity)
     faces = cut(faces)
@@ -124,10 +122,10 @@ def segment(vertices: DataFrame, faces: DataFrame, noise: float, sensitivity: fl
     unit = geometry.select(*KEY, "nx", "ny", "nz")
     centre = geometry.select(*KEY, "gx", "gy", "gz")
 
-    def fit(labels: DataFrame, final: bool = False) -> DataFrame:
+    def fit(labels: DataFrame) -> DataFrame:
         points = cut(region_points(labels, faces, normals))
         large = points.groupBy(*ft.KEY).agg(F.count("*").alias("_n")).filter("_n >= 8")
-        return cut(ft.fit_best(points.join(large, ft.KEY, "left_semi"), noise, final))
+        return cut(ft.fit_best(points.join(large, ft.KEY, "left_semi"), noise))
 
     def relax(labels: DataFrame, found: DataFrame) -> DataFrame:
         shape = found.select(*ft.FIT, *[f"{a}{c}" for a in "on" for c in "xyz"], *ft._SIZES)
@@ -143,7 +141,8 @@ def segment(vertices: DataFrame, faces: DataFrame, noise: float, sensitivity: fl
         labels = cut(relabelled(labels, extra.join(good, ["scan_id", "label"], "left_semi")))
         found = fit(labels)
     rejected: DataFrame | None = None
-    for _ in range(merge_rounds):
+    # Ends: a round merges regions or rejects pairs, and there are finitely many of both.
+    while True:
         points = cut(region_points(labels, faces, normals))
         moves, tried = merge_round(labels, found, points, pairs, merge * noise, rejected)
         if tried.isEmpty():
@@ -155,4 +154,4 @@ def segment(vertices: DataFrame, faces: DataFrame, noise: float, sensitivity: fl
             found = fit(labels)
     labels = relax(labels, found)
     labels = cut(regions.compact_labels(labels))
-    return Segmented(labels, fit(labels, final=True))
+    return Segmented(labels, fit(labels))

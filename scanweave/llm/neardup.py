@@ -205,10 +205,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(members.hint("merge"), ["doc_id", "text_hash"])
     full = (texts.dropDuplicates(["rep"]).select("rep", "cluster", "n", "text")
             .mapInPandas(again, "rep long, cluster long, n long, found array<long>"))
-    full = _paired(full, F.ceil(F.col("n") / SET_BLOCK), "cluster").drop("n")
-    buckets = max(1, -(-members.count() // SET_ROWS))
-    exact = (full.withColumn("_bucket", F.pmod(F.xxhash64("cluster", "pair"), F.lit(buckets))).groupBy("_bucket")
-             .applyInPandas(_confirmed(percent), "a long, b long"))
+    full = _paired(full, F.ceil(F.col("n") / SET_BLOCK), "cluster")
+    # Groups of one block share buckets; a pair of blocks of a larger group is a task's whole share.
+    single = F.col("n") <= SET_BLOCK
+    buckets = max(1, -(-members.filter(single).count() // SET_ROWS))
+    full = full.withColumns({"_bucket": F.when(single, F.pmod(F.xxhash64("cluster"), F.lit(buckets))),
+                             "_group": F.when(~single, F.col("cluster")), "_pair": F.when(~single, F.col("pair"))}).drop("n")
+    exact = full.groupBy("_bucket", "_group", "_pair").applyInPandas(_confirmed(percent), "a long, b long")
     linked = stars(settled(exact.distinct()).withColumn("scan_id", F.lit("d"))).select(F.col("a").alias("rep"), F.col("b").alias("root"))
     names = classes.select("key", "rep", "doc_id").join(linked, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = names.groupBy("root").agg(F.min("doc_id").alias("component_id"))

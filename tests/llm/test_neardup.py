@@ -88,6 +88,27 @@ def test_small_blocks_and_null_ids(spark, documents, monkeypatch):
     assert neardup.near_duplicates(documents(rows).limit(0)).count() == 0
 
 
+def test_a_task_holds_two_blocks(spark, documents, monkeypatch):
+    from scanweave.llm import neardup
+
+    for name in ("SET_BLOCK", "SET_ROWS"):
+        monkeypatch.setattr(neardup, name, 8)
+    whole = neardup._confirmed(80)
+
+    def bounded(percent):
+        def compare(frame):
+            assert len(frame) <= 60, f"{len(frame)} sets in one task"
+            return whole(frame)
+
+        return compare
+
+    monkeypatch.setattr(neardup, "_confirmed", bounded)
+    words = [f"w{i}" for i in range(150)]
+    rows = [(n, " ".join(words[:n % 150] + [f"x{n}"] + words[n % 150 + 1:])) for n in range(200)]
+    got = neardup.near_duplicates(documents(rows)).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 200
+
+
 @pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
 def test_query(spark, sf):
     from scanweave.llm.queries import QUERIES

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanweave.llm.common import settled
@@ -165,6 +165,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Rows with the same id and different texts are judged each by its text. text_hash (xxhash64 of
     the text) tells such rows apart. An empty table gives no rows.
     """
+    return _judged(docs, words, percent).drop("root")
+
+
+def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Rows of `near_duplicates` with `root`, which tells components of the same smallest id apart."""
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(t, words) for t in batch["text"]]
@@ -215,11 +220,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     linked = stars(settled(exact.distinct()).withColumn("scan_id", F.lit("d"))).select(F.col("a").alias("rep"), F.col("b").alias("root"))
     names = classes.select("key", "rep", "doc_id").join(linked, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = names.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = settled(names.join(least, "root").select("key", "component_id"))
+    found = settled(names.join(least, "root").select("key", "root", "component_id"))
     # A document of the class is named even if its own id is null.
     out = rows.select("doc_id", "text_hash", "n_shingles", "key").join(found, "key", "left")
     return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-                      F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+                      F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "root")
 
 
 def _values():
@@ -242,6 +247,19 @@ def _unique_names(classes: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of `docs`, all columns, of the documents kept by `near_duplicates`."""
-    gone = settled(near_duplicates(docs, words, percent).filter(~F.col("kept")).select("doc_id", F.col("text_hash").alias("_hash")).distinct())
-    return docs.withColumn("_hash", F.xxhash64("text")).join(gone.hint("merge"), ["doc_id", "_hash"], "left_anti").select(*docs.columns)
+    """One row of `docs`, all columns, of each component of `near_duplicates`.
+
+    Of several kept texts of one component, under one id, the one with the smallest hash stays.
+    Rows equal in id (null or not) and text count as one; rows that stand alone stay.
+    """
+    def keys(hashed: str) -> list[Column]:
+        return [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col(hashed).alias("_hash")]
+
+    judged = settled(_judged(docs, words, percent).select(*keys("text_hash"), "kept", "root").distinct())
+    several = (judged.filter("kept AND root IS NOT NULL").groupBy("root").agg(F.min("_hash").alias("_first"), F.max("_hash").alias("_last"))
+               .filter("_first <> _last"))
+    more = judged.filter("kept").join(several, "root").filter("_hash <> _first")
+    named = ["_id", "_none", "_hash"]
+    gone = settled(judged.filter(~F.col("kept")).select(named).unionByName(more.select(named)))
+    rows = docs.withColumn("_text", F.xxhash64("text")).select(*docs.columns, *keys("_text"))
+    return rows.join(gone.hint("merge"), named, "left_anti").dropDuplicates(named).select(*docs.columns)

@@ -109,6 +109,19 @@ def test_a_task_holds_two_blocks(spark, documents, monkeypatch):
     assert {r["component_id"] for r in got} == {0} and len(got) == 200
 
 
+def test_one_row_of_each_component_stays(spark, documents):
+    from scanweave.llm import neardup
+
+    words = [f"w{i}" for i in range(100)]
+    text, near, other = " ".join(words), " ".join(words[:99] + ["x"]), " ".join(f"v{i}" for i in range(50))
+    # A row without id beside a named one, a row repeated whole, near copies and another text under one id, repeats without id.
+    rows = [(3, text), (None, text), (3, text), (3, near), (4, near), (3, other), (None, "alone here"), (None, "alone here"), (0, "zero"), (None, None), (9, None), (9, None)]
+    kept = sorted(((r["doc_id"], r["text"]) for r in neardup.keep_one(documents(rows)).collect()), key=str)
+    first = [k for k in kept if k in ((3, text), (3, near))]
+    assert len(first) == 1
+    assert kept == sorted([*first, (3, other), (None, "alone here"), (0, "zero"), (None, None), (9, None)], key=str)
+
+
 @pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
 def test_query(spark, sf):
     from scanweave.llm.queries import QUERIES

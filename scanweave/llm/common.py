@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,3 +84,16 @@ def shard_count(rows: int, per_shard: int) -> int:
 def every(count: int) -> Column:
     """One row for each number below `count`: sends a block to all partner blocks."""
     return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+
+def flat_bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of an Arrow column of texts as one array, and where each row begins (one place more than rows); nulls are empty."""
+    import pyarrow as pa
+
+    held = column.cast(pa.large_binary())
+    if held.null_count:
+        held = held.fill_null(b"")
+    places = np.frombuffer(held.buffers()[1], dtype=np.int64)[held.offset:held.offset + len(held) + 1]
+    data = held.buffers()[2]
+    flat = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, dtype=np.uint8)
+    return flat[places[0]:places[-1]], places - places[0]

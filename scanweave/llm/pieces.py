@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,9 @@ SPACE = "▁"
 REPLACED = "�"
 CACHED = 200_000
 CACHED_CHARS = 64
+#: Parts up to so many characters are merged by looking through a list, longer ones by a queue.
+SHORT_CHARS = 32
+_NEVER = (float("inf"), -1)
 OUT_TOKENS = 1 << 20
 
 #: Piece kinds and field numbers of the model file (fixed values).
@@ -174,7 +178,7 @@ class Normaliser:
 
 
 class Entries(dict):
-    """(id, normalised bytes) pairs of a part's pieces, little-endian; half of the memory starts anew when full."""
+    """(id, normalised bytes) pairs of a part's pieces; half of the memory starts anew when full."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.older = model, {}
@@ -182,7 +186,7 @@ class Entries(dict):
     def __missing__(self, part: str) -> bytes:
         found = self.older.get(part)
         if found is None:
-            found = np.array(self.model.pieces_of(part), dtype="<i4").tobytes()
+            found = self.model.pieces_of(part)
         if len(part) <= CACHED_CHARS:
             if len(self) >= CACHED:
                 self.older = dict(self)
@@ -218,8 +222,12 @@ class Model:
             else:
                 raise ValueError("user-defined and unused pieces are not handled")
         self.kinds = np.array(self.kinds)
-        #: Where a piece never goes on past a space mark, the marks cut a text into parts of their own.
-        self.parts = None if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score) else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        #: Where no piece goes on past a space mark, the marks cut a text into parts of their own; so do characters no longer piece holds.
+        shared = set().union(*(p for p in self.score if len(p) > 1))
+        alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in shared)
+        crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score)
+        self.parts = None if crossing or SPACE not in shared else re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.packed = {text: array("i", [number, len(text.encode())]).tobytes() for text, (_, number) in self.score.items()}
         self.entries = Entries(self)
         self.sizes = np.array([len(s) for s in self.surfaces], dtype=np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -234,6 +242,25 @@ class Model:
 
     def merged(self, part: str) -> list[str]:
         """Characters merged pair by pair, best score first, then leftmost."""
+        if len(part) > SHORT_CHARS:
+            return self._merged_long(part)
+        symbols, get = list(part), self.score.get
+        costs = [get(a + b, _NEVER)[0] for a, b in zip(symbols, symbols[1:])]
+        while costs:
+            least = min(costs)
+            if least == _NEVER[0]:
+                break
+            at = costs.index(least)
+            symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
+            del costs[at]
+            if at:
+                costs[at - 1] = get(symbols[at - 1] + symbols[at], _NEVER)[0]
+            if at < len(costs):
+                costs[at] = get(symbols[at] + symbols[at + 1], _NEVER)[0]
+        return symbols
+
+    def _merged_long(self, part: str) -> list[str]:
+        """The same with a queue of pairs, for parts of any length."""
         symbols = list(part)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -261,23 +288,23 @@ class Model:
             offer(left, after[left])
         return [s for s in symbols if s]
 
-    def pieces_of(self, part: str) -> list[tuple[int, int]]:
-        """Ids and normalised bytes; of the bytes of a fallen-back character the last one stands for all."""
-        out = []
-        for piece in self.merged(part):
-            known, data = self.score.get(piece), piece.encode()
-            if known is not None:
-                out.append((known[1], len(data)))
-            else:
-                out += [(self.bytes_at[b], 0) for b in data]
-                out[-1] = (out[-1][0], len(data))
-        return out
+    def pieces_of(self, part: str) -> bytes:
+        """Pairs of ids and normalised bytes; of the bytes of a fallen-back character the last one stands for all."""
+        symbols, packed = self.merged(part), self.packed
+        try:
+            return b"".join([packed[s] for s in symbols])
+        except KeyError:
+            return b"".join([packed.get(s) or self._bytes_of(s) for s in symbols])
+
+    def _bytes_of(self, char: str) -> bytes:
+        data = char.encode()
+        return array("i", [x for k, b in enumerate(data, 1) for x in (self.bytes_at[b], len(data) if k == len(data) else 0)]).tobytes()
 
     def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a whole text, and the first and past-the-end source byte of each."""
         text, places = self.normaliser.run(data)
         parts = [text] if self.parts is None and text else self.parts.findall(text) if text else []
-        found = np.frombuffer(b"".join(map(self.entries.__getitem__, parts)), dtype="<i4").reshape(-1, 2)
+        found = np.frombuffer(b"".join(map(self.entries.__getitem__, parts)), dtype=np.intc).reshape(-1, 2)
         stop = np.cumsum(found[:, 1], dtype=np.int64)
         return found[:, 0], places[stop - found[:, 1]], places[stop]
 
@@ -385,7 +412,8 @@ def decoded(ids: Column | str, path: str) -> Column:
 
 def piece_digest(encoded: DataFrame, path: str) -> DataFrame:
     """Per row of `encode_documents`: doc_id, n_tokens, digests of the ids and of the decoded text, and the bytes its spans cover."""
-    covered = F.aggregate(F.zip_with("begins", "ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    # Spans follow each other without gaps.
+    covered = F.when(F.size("ids") > 0, F.element_at("ends", -1) - F.element_at("begins", 1)).otherwise(0).cast("long")
     return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(decoded("ids", path), 256).alias("decoded_sha256"), covered.alias("span_bytes"))

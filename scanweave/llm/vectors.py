@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from scanweave.llm.common import every, settled, shard_count, smallest_ids, top_k
 
-QUERY_BLOCK = 512
-ROW_BLOCK = 4_096
-MAXSCORE_ROWS = 2_048
+#: Queries and rows that meet in one task, and how many of them are compared at once.
+QUERY_BLOCK, ROW_BLOCK = 8_192, 4_096
+QUERY_PART, ROW_PART = 512, 4_096
+#: Rows of a wave over all rows before it.
+GROWTH = 4
+MAXSCORE_QUERIES, MAXSCORE_ROWS = 512, 2_048
 SEED = 7
 #: Width of the error interval in standard errors of the estimate; wider reranks more rows.
 WIDTH = 3.5
@@ -49,35 +52,70 @@ def encode(vectors: np.ndarray, centre: np.ndarray) -> tuple[list[bytes], np.nda
     return [row.tobytes() for row in packed], norm, np.abs(unit).sum(axis=1) / math.sqrt(unit.shape[1])
 
 
-def distance_bounds(queries: np.ndarray, centre: np.ndarray, bits: np.ndarray, norm: np.ndarray,
-                    overlap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the squared distance, queries by rows."""
+def distance_bounds(queries: np.ndarray, centre: np.ndarray, bits: np.ndarray, norm: np.ndarray, overlap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the squared distances, queries by rows: below, and above."""
     residual = queries - centre
     far = np.linalg.norm(residual, axis=1)
-    turned = residual / np.where(far > 0, far, 1)[:, None] @ rotation(queries.shape[1])
+    turned = (residual / np.where(far > 0, far, 1)[:, None] @ rotation(queries.shape[1])).astype(np.float32)
     dim = turned.shape[1]
-    signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float64) * 2 - 1
+    signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1
     safe = np.where(overlap > 0, overlap, 1)
-    cosine = turned @ signs.T / math.sqrt(dim) / safe
-    error = WIDTH * np.sqrt(np.maximum(0, 1 - safe**2)) / safe / math.sqrt(max(dim - 1, 1))
+    cosine = (turned @ signs.T).astype(np.float64) / math.sqrt(dim) / safe
+    error = WIDTH * np.sqrt(np.maximum(0, 1 - safe**2)) / safe / math.sqrt(max(dim - 1, 1)) + 1e-5
     base = norm[None, :] ** 2 + far[:, None] ** 2
     reach = 2 * norm[None, :] * far[:, None]
     slack = 1e-9 * (base + 1e-300)
-    low = base - reach * np.minimum(1, cosine + error) - slack
-    high = base - reach * np.maximum(-1, cosine - error) + slack
-    return low, high
+    return base - reach * np.minimum(1, cosine + error) - slack, base - reach * np.maximum(-1, cosine - error) + slack
+
+
+class Nearest:
+    """The `k` nearest rows so far of each query, and the distance a further row must not pass."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, limits: np.ndarray, k: int) -> None:
+        self.ids, self.vectors, self.limit, self.k = ids, vectors, limits.copy(), k
+        self.best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norm: np.ndarray, overlap: np.ndarray, centre: np.ndarray) -> None:
+        """Rerank the rows whose lower bound does not pass a query's limit; the limit falls as better rows are found."""
+        for start in range(0, len(self.ids), QUERY_PART):
+            part = slice(start, start + QUERY_PART)
+            low, high = distance_bounds(self.vectors[part], centre, codes, norm, overlap)
+            own = self.ids[part, None] == ids[None, :]
+            low[own] = high[own] = np.inf
+            limit = self.limit[part] ** 2 * (1 + 1e-9)
+            if len(ids) > self.k:  # so many rows are at least as near as their upper bounds say
+                limit = np.minimum(limit, np.partition(high, self.k - 1, axis=1)[:, self.k - 1])
+            rows = (low <= limit[:, None]) & ~own
+            for i in np.flatnonzero(rows.any(axis=1)):
+                near = np.flatnonzero(rows[i])
+                apart = vectors[near] - self.vectors[start + i]
+                score = np.sqrt((apart * apart).sum(axis=1))
+                held = score <= self.limit[start + i]
+                all_ids = np.r_[self.best[start + i][0], ids[near[held]]]
+                scores = np.r_[self.best[start + i][1], score[held]]
+                first = np.lexsort((all_ids, scores))[:self.k]
+                self.best[start + i] = all_ids[first], scores[first]
+                if len(first) == self.k:
+                    self.limit[start + i] = scores[first[-1]]
+
+    def rows(self) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": np.repeat(self.ids, [len(b[0]) for b in self.best]),
+                             "vec_id": np.concatenate([np.zeros(0, np.int64), *(b[0] for b in self.best)]),
+                             "score": np.concatenate([np.zeros(0), *(b[1] for b in self.best)])})
 
 
 def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     """The `k` nearest rows of every query row: query_id, rank, vec_id, score (Euclidean distance).
 
     `vectors(vec_id, vector)`; `queries` selects the query rows; a query's own id is no candidate.
-    Each row is indexed by one bit per dimension and two numbers. A query keeps the rows whose
-    lower bound does not exceed the k-th smallest upper bound, first within a block, then over all
-    blocks, and these are ranked by their original vectors; ties go to the smaller id. Null, zero
-    and non-finite vectors and null ids take no part; vectors meet those of their own dimension;
-    repeated rows count once; an empty table gives no rows. The centre is fitted on the
-    CENTRE_SAMPLE rows with the smallest hashed ids of each dimension.
+    Each row is indexed by one-bit codes and two numbers. The blocks of rows are met in waves, each
+    GROWTH times the size of all before. A query enters a wave with the distance of its k-th row so
+    far; tasks estimate distances from the codes and rerank, by the original vectors, the rows whose
+    lower bound does not pass it. So a task gives out only rows that may stay, about as many per
+    query and wave whatever the number of rows. Ties go to the smaller id. Null, zero and non-finite
+    vectors and null ids take no part; vectors meet those of their own dimension; repeated rows count
+    once; an empty table gives no rows. The centre is fitted on the CENTRE_SAMPLE rows with the
+    smallest hashed ids of each dimension.
     """
     sound = settled(
         vectors.select("vec_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
@@ -93,36 +131,40 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10) -> Data
         for batch in batches:
             for dim, part in batch.groupby("dim"):
                 codes, norm, overlap = encode(np.stack(part["vector"].to_numpy()), centres[dim])
-                yield pd.DataFrame({"vec_id": part["vec_id"], "dim": part["dim"], "code": codes, "norm": norm, "overlap": overlap})
+                yield pd.DataFrame({"vec_id": part["vec_id"], "vector": part["vector"], "dim": part["dim"], "code": codes, "norm": norm, "overlap": overlap})
 
-    def candidates(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def nearer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "low": [], "high": []}).astype({"query_id": int, "vec_id": int})
+            return Nearest(np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0), k).rows()
+        found = Nearest(left["vec_id"].to_numpy(), np.stack(left["vector"].to_numpy()), left["limit"].to_numpy(), k)
         bits = np.frombuffer(b"".join(right["code"]), dtype=np.uint8).reshape(len(right), -1)
-        ids, asking = right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
-        low, high = distance_bounds(np.stack(left["vector"].to_numpy()), centres[int(left["dim"].iloc[0])], bits,
-                                    right["norm"].to_numpy(), right["overlap"].to_numpy())
-        own = asking[:, None] == ids[None, :]
-        low[own] = high[own] = np.inf
-        limit = np.partition(high, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(asking), np.inf)
-        query, row = np.nonzero((low <= limit[:, None]) & ~own)
-        return pd.DataFrame({"query_id": asking[query], "vec_id": ids[row], "low": low[query, row], "high": high[query, row]})
-
-    codes = rows.mapInPandas(coded, "vec_id long, dim int, code binary, norm double, overlap double")
-    left = (asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("rb", every(row_blocks)))
-    right = (codes.withColumn("rb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(row_blocks)).cast("int")).withColumn("qb", every(query_blocks)))
-    found = settled(left.groupBy("dim", "qb", "rb").cogroup(right.groupBy("dim", "qb", "rb"))
-                    .applyInPandas(candidates, "query_id long, vec_id long, low double, high double"))
-    kth = (top_k(found.select("query_id", "high"), "query_id", [F.col("high")], k)
-           .groupBy("query_id").agg(F.max("high").alias("limit"), F.count("*").alias("met")))
-    close = (found.join(kth, "query_id").filter((F.col("met") < k) | (F.col("low") <= F.col("limit"))).select("query_id", "vec_id"))
-    exact = (close.join(sound.select("vec_id", F.col("vector").alias("there")), "vec_id")
-             .join(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("here")), "query_id")
-             .filter(F.size("here") == F.size("there")))
-    squares = F.zip_with("here", "there", lambda a, b: (a - b) * (a - b))
-    scored = exact.select("query_id", "vec_id", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("score"))
-    ranked = top_k(scored, "query_id", [F.col("score"), F.col("vec_id")], k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        ids, there = right["vec_id"].to_numpy(), np.stack(right["vector"].to_numpy())
+        norm, overlap = right["norm"].to_numpy(), right["overlap"].to_numpy()
+        for start in range(0, len(ids), ROW_PART):
+            part = slice(start, start + ROW_PART)
+            found.meet(ids[part], there[part], bits[part], norm[part], overlap[part], centres[int(left["dim"].iloc[0])])
+        return found.rows()
+
+    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(row_blocks)).cast("int")
+    codes = settled(rows.mapInPandas(coded, "vec_id long, vector array<double>, dim int, code binary, norm double, overlap double").withColumn("rb", block))
+    asked = settled(asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")))
+    best, low, high = None, 0, 1
+    while low < row_blocks:
+        if best is None:
+            left = asked.withColumn("limit", F.lit(float("inf")))
+        else:
+            # A query with fewer than k rows so far still takes any.
+            limits = best.groupBy("query_id").agg(F.when(F.count("*") == k, F.max("score")).alias("limit"))
+            left = asked.join(limits.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+        top = min(high, row_blocks)
+        left = left.withColumn("rb", F.explode(F.sequence(F.lit(low), F.lit(top - 1))))
+        right = codes.filter(F.col("rb").between(low, top - 1)).withColumn("qb", every(query_blocks))
+        found = (left.groupBy("dim", "qb", "rb").cogroup(right.groupBy("dim", "qb", "rb"))
+                 .applyInPandas(nearer, "query_id long, vec_id long, score double"))
+        found = found if best is None else found.unionByName(best.drop("rank"))
+        best = settled(top_k(found, "query_id", [F.col("score"), F.col("vec_id")], k))
+        low, high = high, high * GROWTH
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def _centres(sound: DataFrame) -> dict[int, np.ndarray]:
@@ -215,7 +257,7 @@ def inner_product_search(vectors: DataFrame, queries: Column, k: int = 20) -> Da
         .distinct().withColumn("dim", F.size("vector")))
     asked = sound.filter(queries)
     row_blocks = shard_count(sound.count(), MAXSCORE_ROWS)
-    query_blocks = shard_count(asked.count(), QUERY_BLOCK)
+    query_blocks = shard_count(asked.count(), MAXSCORE_QUERIES)
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = {"query_id": [], "vec_id": [], "score": []}

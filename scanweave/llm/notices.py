@@ -52,7 +52,7 @@ class Notices:
         for rule, (body, exact, label) in enumerate(fuzzy):
             edits = len(body) // EDIT_SHARE
             pattern = regex.compile(
-                rf"(?b)(?<![^ ])(?:{regex.escape(body, special_only=True)}){{e<={edits}}}{exact}(?![^ ])")
+                rf"(?e)(?<![^ ])(?:{regex.escape(body, special_only=True)}){{e<={edits}}}{exact}(?![^ ])")
             self.rules.append((pattern, len(body), len(body) + len(exact), edits, label))
             cuts = [round(i * len(body) / (edits + 1)) for i in range(edits + 2)]
             for start, end in zip(cuts, cuts[1:]):
@@ -62,25 +62,34 @@ class Notices:
         self.found.make_automaton()
 
     def search(self, words: str) -> list[tuple[str, int, int, int, float]]:
-        """(label, first character, end, edits, similarity) of every verified notice."""
+        """(label, first character, end, edits, similarity) of every verified notice.
+
+        Windows reach to whole words, so what is found in one does not depend on where it was cut. Of
+        spans of one rule that overlap, the one with fewest edits (the first of equals) stands. Letters
+        stuck to the front of a notice's first word make another word and are no edit.
+        """
         windows: dict[int, list[list[int]]] = {}
         for last, (size, places) in self.found.iter(words):
             for rule, start in places:
                 _, body, whole, edits, _ = self.rules[rule]
                 at = last + 1 - size - start
-                lo, hi = max(0, at - edits), min(len(words), at + whole + edits)
+                lo, hi = words.rfind(" ", 0, max(0, at - edits)) + 1, words.find(" ", min(len(words), at + whole + edits))
+                hi = len(words) if hi < 0 else hi
                 held = windows.setdefault(rule, [])
                 if held and lo <= held[-1][1]:
-                    held[-1][1] = max(hi, held[-1][1])
+                    held[-1][0], held[-1][1] = min(lo, held[-1][0]), max(hi, held[-1][1])
                 else:
                     held.append([lo, hi])
         out = []
         for rule, held in windows.items():
             pattern, body, whole, _, label = self.rules[rule]
             for lo, hi in held:
-                for match in pattern.finditer(words, lo, hi):
-                    edits = sum(match.fuzzy_counts)
-                    out.append((label, match.start(), match.end(), edits, 1 - edits / body))
+                hits = sorted((sum(m.fuzzy_counts), m.start(), m.end()) for m in pattern.finditer(words, lo, hi, overlapped=True))
+                taken: list[tuple[int, int]] = []
+                for edits, start, end in hits:
+                    if all(end <= a or start >= b for a, b in taken):
+                        taken.append((start, end))
+                        out.append((label, start, end, edits, 1 - edits / body))
         return out
 
 

@@ -144,20 +144,32 @@ class AdditiveModel:
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> AdditiveModel | None:
-    """Train on at most LABELLED rows for which `usable` holds; None unless both classes occur."""
+class Share:
+    """What is known without labels of both classes: the share of label 1."""
+
+    def __init__(self, share: float) -> None:
+        self.share = share
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return np.full(len(x), self.share)
+
+
+def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> AdditiveModel | Share:
+    """Train on at most LABELLED rows for which `usable` holds; the share of label 1 (1 without labels) unless both classes occur."""
     known = (labels.filter(usable & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
              .groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED))
     sample = docs.select("doc_id", "text").join(F.broadcast(settled(known)), "doc_id")
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"quality": batch["quality"], "x": [measure(t) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": [measure(t) for t in batch["text"]]})
 
-    rows = sorted((r["x"], r["quality"]) for r in sample.mapInPandas(measured, "quality int, x array<double>").collect())
+    # One row of every id, so that the sample is bounded in rows as well as in ids.
+    sample = settled(sample.mapInPandas(measured, "doc_id long, quality int, x array<double>"))
+    rows = sorted((r["x"], r["quality"]) for r in sample.groupBy("doc_id").agg(F.min("x").alias("x"), F.max("quality").alias("quality")).collect())
     y = np.array([r[1] for r in rows], dtype=np.float64)
     if not len(y) or y.min() == y.max():
-        return None
+        return Share(float(y[0]) if len(y) else 1.0)
     return AdditiveModel(np.array([r[0] for r in rows]), y)
 
 
@@ -165,7 +177,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held:
     """doc_id, held_out, score (0 to 1) and predicted (score of at least 0.7) for every row of `docs`.
 
     Labels are learnt from rows whose crc32 of the id modulo `folds` is not `held`. Null texts are
-    empty ones, whose measures are all zero; without labels of both classes every score is 1.
+    empty ones, whose measures are all zero; with labels of one class every score is the share of
+    label 1, and 1 without any label.
     """
     kept_out = fold(folds) == held
     model = fit(docs, labels, ~kept_out)
@@ -173,7 +186,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.array([measure(t) for t in batch["text"]]).reshape(len(batch), len(NAMES))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": 1.0 if model is None else model.score(x)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": model.score(x)})
 
     scored = docs.select("doc_id", "text").mapInPandas(score, "doc_id long, score double")
     return scored.select("doc_id", kept_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

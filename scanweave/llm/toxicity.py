@@ -20,7 +20,7 @@ from scanweave.llm.common import fold, settled
 
 #: Training sample: rows with the smallest hashed ids. Scoring and everything else covers all rows.
 POSITIVES = 3_000
-UNLABELLED = 8_000
+UNLABELLED = 12_000
 BUCKETS = 1 << 20
 STARTS, LEVELS = (4, 6), (2, 4, 8)
 FEATURES = 512
@@ -47,7 +47,9 @@ def word_set(text: str | None) -> np.ndarray:
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"positive": batch["positive"], "words": [word_set(t).astype("<i4").tobytes() for t in batch["text"]]})
+        for at in range(0, len(batch), 256):
+            part = batch.iloc[at:at + 256]
+            yield pd.DataFrame({"doc_id": part["doc_id"], "positive": part["positive"], "words": [word_set(t) for t in part["text"]]})
 
 
 class Model:
@@ -64,24 +66,27 @@ class Model:
         return float(np.mean(1 / (1 + np.exp(-np.clip(raw, -30, 30)))))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """Fit MEMBERS classifiers by non-negative risk on bootstrap samples; same input, same model."""
-    def counts(sets):
-        return np.bincount(np.concatenate([np.zeros(0, np.int32), *sets]), minlength=BUCKETS)
+def choose_slots(sets: DataFrame, n_p: int, n_u: int) -> np.ndarray:
+    """The FEATURES slots whose shares of confirmed and unlabelled texts differ most for their spread, counted by Spark."""
+    seen = sets.select("positive", F.explode("words").alias("slot")).groupBy("slot").agg(
+        F.sum(F.col("positive")).alias("in_p"), F.sum(1 - F.col("positive")).alias("in_u"))
+    share = {k: (F.col(f"in_{k}") + 0.5) / (n + 1) for k, n in (("p", n_p), ("u", n_u))}
+    gap = F.abs(share["p"] - share["u"]) / F.sqrt(share["p"] * (1 - share["p"]) / n_p + share["u"] * (1 - share["u"]) / n_u)
+    best = seen.orderBy(F.desc(F.round(gap, 9)), "slot").limit(FEATURES).collect()
+    return np.sort(np.array([r["slot"] for r in best], dtype=np.int64))
 
+
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], slots: np.ndarray, prior: float) -> Model:
+    """Fit MEMBERS classifiers by non-negative risk on bootstrap samples; same input, same model.
+
+    Texts are given by the places of their features in `slots`.
+    """
     n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
-    in_p, in_u = counts(positive), counts(unlabelled)
-    share_p, share_u = (in_p + 0.5) / (n_p + 1), (in_u + 0.5) / (n_u + 1)
-    gap = np.abs(share_p - share_u) / np.sqrt(share_p * (1 - share_p) / n_p + share_u * (1 - share_u) / n_u)
-    slots = np.sort(np.argsort(-gap, kind="stable")[:FEATURES])
-    place = np.full(BUCKETS, -1)
-    place[slots] = np.arange(len(slots))
 
     def dense(sets):
         out = np.zeros((len(sets), len(slots)), dtype=np.float32)
         for i, s in enumerate(sets):
-            at = place[s]
-            out[i, at[at >= 0]] = 1
+            out[i, s] = 1
         return out
 
     x_p, x_u = dense(positive), dense(unlabelled)
@@ -131,12 +136,22 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model | None:
 
     ids = settled(some(known.filter("toxic = 1"), POSITIVES, 1).unionByName(
         some(docs.filter(usable & F.col("doc_id").isNotNull()), UNLABELLED, 0)))
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInPandas(_sets, "positive int, words binary")
-    rows = sample.collect()
-    sets = {k: [np.frombuffer(w, dtype="<i4") for w in sorted(bytes(r["words"]) for r in rows if r["positive"] == k)] for k in (0, 1)}
-    if not sets[1] or not sets[0]:
+    # One row of every id, so that the sample is bounded in rows as well as in ids.
+    mine = docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).join(F.broadcast(ids), "doc_id")
+    least = mine.groupBy("doc_id", "positive").agg(F.min(F.coalesce("_h", F.lit(0))).alias("_h"))
+    sample = docs.select("doc_id", "text").withColumn("_h", F.coalesce(F.xxhash64("text"), F.lit(0))).join(F.broadcast(settled(least)), ["doc_id", "_h"])
+    sets = settled(sample.dropDuplicates(["doc_id", "positive"]).select("doc_id", "positive", "text")
+                   .mapInPandas(_sets, "doc_id long, positive int, words array<long>"))
+    n = {r["positive"]: r["count"] for r in sets.groupBy("positive").count().collect()}
+    if not n.get(1) or not n.get(0):
         return None
-    return train(sets[1], sets[0], prior)
+    slots = choose_slots(sets, n[1], n[0])
+    # Only the chosen features leave the tasks: at most FEATURES places for each sampled text.
+    place = F.array_sort(F.array_intersect("words", F.array(*[F.lit(int(x)) for x in slots])))
+    kept = sets.select("positive", place.alias("words")).collect()
+    at = {int(x): i for i, x in enumerate(slots)}
+    found = {k: sorted([at[x] for x in r["words"]] for r in kept if r["positive"] == k) for k in (0, 1)}
+    return train([np.array(f, dtype=np.int64) for f in found[1]], [np.array(f, dtype=np.int64) for f in found[0]], slots, prior)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:

@@ -219,6 +219,22 @@ class Tables:
             "scan_id", "chain_id", "pos", (r * F.cos(angle)).alias("u"), (r * F.sin(angle)).alias("v")
         )
 
+    @cached_property
+    def stadiums(self) -> DataFrame:
+        """Closed outlines of two lines and two half circles, 100 points each, evenly spaced, slightly noisy."""
+        chain = F.col("chain_id")
+        length, r = 20.0 + chain % 5, 5.0 + chain % 4
+        pi = F.lit(3.141592653589793)
+        s = F.col("pos") * (2 * length + 2 * pi * r) / 100
+        noise = (F.col("v") - 1) / 200
+        turn = F.when(s < length + pi * r, (s - length) / r - pi / 2).otherwise((s - 2 * length - pi * r) / r + pi / 2)
+        first, third = s < length, (s >= length + pi * r) & (s < 2 * length + pi * r)
+        out = r + noise
+        u = (F.when(first, s - length / 2).when(third, length / 2 - (s - length - pi * r))
+             .when(s < length + pi * r, length / 2 + out * F.cos(turn)).otherwise(-length / 2 + out * F.cos(turn)))
+        v = F.when(first, -out).when(third, out).otherwise(out * F.sin(turn))
+        return self.polylines.select("scan_id", "chain_id", "pos", u.alias("u"), v.alias("v"))
+
     @cached_property
     def region_pairs(self) -> DataFrame:
         k = F.col("o_orderkey")
@@ -288,7 +304,41 @@ class Tables:
         )
 
 
+    # ------------------------------------------------------------------ sheets
+
+    @cached_property
+    def sheet_vertices(self) -> DataFrame:
+        """One bent sheet per supplier: a flat strip, a round edge of radius 6 and an upright wall, 1 mm faces."""
+        s, i, j = F.col("s_suppkey"), F.col("i"), F.col("j")
+        turn = (i - 20) * F.lit(3.141592653589793) / 20
+        x = F.when(i <= 20, i - 20.0).when(i < 30, 6 * F.sin(turn)).otherwise(6.0)
+        z = F.when(i <= 20, 0.0).when(i < 30, 6 * F.cos(turn) - 6).otherwise(24.0 - i)
+        k = s * 1_000 + j * SHEET_WIDTH + i
+        noise = lambda n: (k * n % 1_000 - 499.5) / 100_000
+        rows = self.read("supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(SHEET_WIDTH - 1))).alias("i"))
+        rows = rows.select("s_suppkey", "i", F.explode(F.sequence(F.lit(0), F.lit(SHEET_DEPTH - 1))).alias("j"))
+        return rows.select(
+            scan_name(s).alias("scan_id"), k.alias("vertex_id"), (x + noise(7_919) + s % 10 * 60.0).alias("x"),
+            (j + noise(6_007) + F.floor(s / 10) * 40.0).alias("y"), (z + noise(5_003)).alias("z"))
+
+    @cached_property
+    def sheet_faces(self) -> DataFrame:
+        """Faces of the sheets with their true `part`: 0 flat, 1 round edge, 2 wall; every 50th is synthetic."""
+        s, i, j = F.col("s_suppkey"), F.col("i"), F.col("j")
+        rows = self.read("supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(SHEET_WIDTH - 2))).alias("i"))
+        rows = rows.select("s_suppkey", "i", F.explode(F.sequence(F.lit(0), F.lit(SHEET_DEPTH - 2))).alias("j"))
+        k = s * 1_000 + j * SHEET_WIDTH + i
+        face = 2 * (s * 1_000 + j * (SHEET_WIDTH - 1) + i)
+        halves = F.array(
+            F.struct(face.alias("face_id"), k.alias("v0"), (k + 1).alias("v1"), (k + 1 + SHEET_WIDTH).alias("v2")),
+            F.struct((face + 1).alias("face_id"), k.alias("v0"), (k + 1 + SHEET_WIDTH).alias("v1"), (k + SHEET_WIDTH).alias("v2")))
+        part = F.when(i < 20, 0).when(i < 30, 1).otherwise(2)
+        return rows.select(scan_name(s).alias("scan_id"), s.cast("int").alias("sheet"), part.alias("part"), F.inline(halves)).withColumn(
+            "synthetic", F.col("face_id") % 50 == 49)
+
+
 # Fixed values of the fixtures.
+SHEET_WIDTH, SHEET_DEPTH = 51, 12
 PATCH_KINDS = ("plane", "cylinder", "sphere", "cone", "torus")
 BOX_TRIANGLES = (
     (0, 2, 3), (0, 3, 1), (4, 5, 7), (4, 7, 6), (0, 1, 5), (0, 5, 4),

@@ -13,13 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scanweave.functions.vec import V, stage, vec
-from scanweave.operators.quantiles import exact_percentiles
+from scanweave.operators.quantiles import exact_percentiles, robust_sigma
 from scanweave.session import cut
 
 # Fixed values.
 DIRECTIONS = 2_000
 CONE_DEG = 15.0
 TUKEY = 4.685
+MEMBER_DEG = 10.0
 MIN_AREA_SHARE = 0.02
 CELL = 0.1
 PLANES = "scan_id string, plane_id int, area double, faces long, rms double, px double, py double, pz double, qx double, qy double, qz double"
@@ -174,36 +175,65 @@ def robust_planes(points: DataFrame, keys: list[str], rounds: int = 8) -> DataFr
     return plane.join(rms, keys)
 
 
-def detect_planes(faces: DataFrame, band: float) -> DataFrame:
-    """Large planes of every scan, one per round: dominant direction, level band, robust refit.
+def _facing_plane(members: DataFrame) -> DataFrame:
+    """Plane of the faces `(scan_id, area, g*, n*)` of each scan, its normal on the side of the faces' normals."""
+    rows = members.select("scan_id", *[F.col(f"g{c}").alias(c) for c in "xyz"], F.lit(1.0).alias("w"))
+    plane = _weighted_plane(rows, ["scan_id"])
+    side = members.groupBy("scan_id").agg(*[F.sum(F.col("area") * F.col(f"n{c}")).alias(f"s{c}") for c in "xyz"])
+    turn = F.when(vec("n").dot(vec("s")) < 0, -1.0).otherwise(1.0)
+    return cut(plane.join(side, "scan_id").select("scan_id", *vec("o").named("p"), *(vec("n") * turn).named("q")))
+
+
+def _near_plane(faces: DataFrame, plane: DataFrame, width: float) -> DataFrame:
+    inside = (F.abs((vec("g") - vec("p")).dot(vec("q"))) <= width) & (vec("n").dot(vec("q")) > F.cos(F.radians(F.lit(MEMBER_DEG))))
+    return faces.join(plane, "scan_id").filter(inside).select(*faces.columns)
+
 
-    `faces(scan_id, face_id, area, g*, n*)`. Faces of a found plane leave the search; a scan
-    stops when its best direction covers less than two percent of its area. Every round takes at
-    least the level of the best direction, so the search ends; without planes the result is empty.
+def detect_planes(faces: DataFrame, band: float) -> DataFrame:
+    """Large planes of every scan, one per round: dominant direction, level band, refits on all faces near it.
+
+    `faces(scan_id, face_id, area, g*, n*)`; `p*` is a point of the plane, `q*` its outward normal. Faces
+    of a found plane leave the search; a scan stops when its best direction covers less than two percent
+    of its area. The first refits use a wider band, so that a tilted start does not keep one end of a face.
+    A level whose residuals spread evenly over the band is a strip of a curved surface and no plane, and
+    a plane that a refit turned into a copy of a larger one is dropped. Every round takes at least the
+    level of the best direction, so the search ends; without planes the result is empty.
     """
     total = cut(faces.groupBy("scan_id").agg(F.sum("area").alias("_total")))
-    rest = cut(faces)
+    every = cut(faces.select("scan_id", "face_id", "area", *[f"{p}{c}" for p in "gn" for c in "xyz"]))
+    rest = every
     found = faces.sparkSession.createDataFrame([], PLANES)
     for number in count():
         direction = cut(dominant_direction(rest).join(total, "scan_id").filter(F.col("area") >= MIN_AREA_SHARE * F.col("_total")).select("scan_id", "dx", "dy", "dz", "_total"))
         if direction.isEmpty():
-            return found
+            return _distinct_planes(found, band)
         facing = rest.join(direction, "scan_id").withColumn("_o", vec("g").dot(vec("d"))).filter(vec("n").dot(vec("d")) > F.cos(F.radians(F.lit(CONE_DEG))))
         level = level_peak(level_histogram(facing, F.col("_o"), F.col("area"), band), band).select("scan_id", "level")
-        seed = facing.join(level, "scan_id").filter(F.abs(F.col("_o") - F.col("level")) <= 1.5 * band)
-        points = seed.select("scan_id", *[F.col(f"g{c}").alias(c) for c in "xyz"])
-        plane = cut(robust_planes(points, ["scan_id"], 3).select("scan_id", *[F.col(f"o{c}").alias(f"p{c}") for c in "xyz"], *[F.col(f"n{c}").alias(f"q{c}") for c in "xyz"], "rms"))
-        near = rest.join(plane, "scan_id")
-        inside = (F.abs((vec("g") - vec("p")).dot(vec("q"))) <= band) & (F.abs(vec("n").dot(vec("q"))) > F.cos(F.radians(F.lit(10.0))))
-        members = cut(near.filter(inside).select("scan_id", "face_id", "area"))
-        taken = members.unionByName(seed.select("scan_id", "face_id", "area")).select("scan_id", "face_id").distinct()
-        size = members.groupBy("scan_id").agg(F.sum("area").alias("area"), F.count("*").alias("faces"))
-        row = plane.join(size, "scan_id").join(total, "scan_id").filter(F.col("area") >= MIN_AREA_SHARE * F.col("_total")).select(
+        seed = cut(facing.join(level, "scan_id").filter(F.abs(F.col("_o") - F.col("level")) <= 1.5 * band).select(*every.columns))
+        members = seed
+        for width in (3.0, 2.0, 1.0, 1.0):
+            plane = _facing_plane(members)
+            members = cut(_near_plane(every, plane, width * band))
+        own = members.join(plane, "scan_id").select("scan_id", "area", (vec("g") - vec("p")).dot(vec("q")).alias("r"))
+        spread = robust_sigma(own, ["scan_id"], "r").filter(F.col("sigma") <= band / 3).select("scan_id")
+        size = own.groupBy("scan_id").agg(F.sum("area").alias("area"), F.count("*").alias("faces"), F.sqrt(F.avg(F.col("r") ** 2)).alias("rms"))
+        row = plane.join(size, "scan_id").join(spread, "scan_id", "left_semi").join(total, "scan_id").filter(
+            (F.col("faces") >= 3) & (F.col("area") >= MIN_AREA_SHARE * F.col("_total"))).select(
             "scan_id", F.lit(number).alias("plane_id"), "area", "faces", "rms", *[f"p{c}" for c in "xyz"], *[f"q{c}" for c in "xyz"])
         found = cut(found.unionByName(row))
+        taken = members.unionByName(seed).select("scan_id", "face_id").distinct()
         rest = cut(rest.join(taken, ["scan_id", "face_id"], "left_anti").join(direction.select("scan_id"), "scan_id", "left_semi"))
 
 
+def _distinct_planes(planes: DataFrame, band: float) -> DataFrame:
+    """Planes but those that lie on a larger one of the same direction; a scan has tens of planes."""
+    other = planes.select("scan_id", *[F.col(c).alias(f"{c}_b") for c in ("plane_id", "area", *[f"{p}{c}" for p in "pq" for c in "xyz"])])
+    larger = (F.col("area_b") > F.col("area")) | ((F.col("area_b") == F.col("area")) & (F.col("plane_id_b") < F.col("plane_id")))
+    same = (vec("q").dot(vec("q", "_b")) > F.cos(F.radians(F.lit(CONE_DEG)))) & (F.abs((vec("p") - vec("p", "_b")).dot(vec("q", "_b"))) <= band)
+    copies = planes.join(other, "scan_id").filter(larger & same).select("scan_id", "plane_id").distinct()
+    return planes.join(copies, ["scan_id", "plane_id"], "left_anti")
+
+
 def cluster_directions(rows: DataFrame, tolerance_deg: float) -> DataFrame:
     """Greedy sign-free clusters of weighted directions per scan, global axes locked.
 

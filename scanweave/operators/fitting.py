@@ -15,13 +15,14 @@ from scanweave.operators.quantiles import robust_sigma
 def fit_statistics(rows: DataFrame, distance: str, keys: list[str], tolerance: float | None = None) -> DataFrame:
     """rms, largest distance, robust sigma, inlier share and count per fit.
 
-    Inliers lie within `tolerance`, or within three sigmas when it is not given.
+    Inliers lie within `tolerance`, or within three sigmas when it is not given. A fit without a
+    finite distance keeps its row, with no sigma.
     """
     d = F.col(distance)
     sigma = robust_sigma(rows, keys, distance)
     limit = F.lit(tolerance) if tolerance is not None else 3 * F.greatest("sigma", F.lit(1e-4))
     return (
-        rows.join(sigma, keys).groupBy(*keys).agg(
+        rows.join(sigma, keys, "left").groupBy(*keys).agg(
             F.count("*").alias("point_count"), F.sqrt(F.avg(d * d)).alias("rms"), F.max(F.abs(d)).alias("max_abs"),
             F.max("sigma").alias("sigma"), F.avg((F.abs(d) <= limit).cast("double")).alias("inlier_ratio"),
         )

@@ -208,9 +208,9 @@ def _(t):
 
 
 @query("j19_faces_along_loops", sql("""SELECT DISTINCT h.scan_id, h.face_id FROM half_edges h JOIN edges e ON e.lo = least(src, dst) AND e.hi = greatest(src, dst)
-    WHERE valence = 1 AND src % 3 = 0"""))
+    WHERE valence = 1"""))
 def _(t):
-    return mesh.boundary(t.faces).filter("src % 3 = 0").select("scan_id", "face_id").distinct()
+    return mesh.boundary(t.faces).select("scan_id", "face_id").distinct()
 
 
 @query("j23_region_adjacency", sql("""SELECT p.scan_id, least(a.label, b.label) AS low, greatest(a.label, b.label) AS high, count(*) AS shared_edges

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scanweave.checks import r, scross, sdot, sql, ssub, sv
+from scanweave.checks import r, sadd, scross, sdot, smul, snorm, sql, ssub, sv
 from scanweave.functions.vec import V, r6, vec
 from scanweave.operators import deviation_stats as ds, mesh, planar, spatial as sp
 from scanweave.plans.deviation import deviation_map, near_bodies, reference_tables
@@ -160,17 +160,25 @@ def _(t):
     return s.select("scan_id", "count", *[r6(F.col(c)).alias(c) for c in ("mean", "max", "p50")])
 
 
-@query("j12_closest_scan_point", sql(f"""SELECT a.scan_id, a.vertex_id, {r('min(abs(sd))', 5)} AS dist FROM (SELECT v.scan_id, v.vertex_id, ((px - ax) * kx + (py - ay) * ky + (pz - az) * kz) / sqrt(kx * kx + ky * ky + kz * kz) AS sd,
-    (({sdot(scross(ssub(sv('b'), sv('a')), ssub(sv('p'), sv('a'))), sv('k'))}) >= 0 AND ({sdot(scross(ssub(sv('c'), sv('b')), ssub(sv('p'), sv('b'))), sv('k'))}) >= 0
-     AND ({sdot(scross(ssub(sv('a'), sv('c')), ssub(sv('p'), sv('c'))), sv('k'))}) >= 0) AS inside
-    FROM (SELECT f.*, gx AS fx, gy AS fy FROM geo f) g JOIN (SELECT scan_id, vertex_id, x + 0.45{D} AS px, y + 0.4{D} AS py, 0.3{D} AS pz FROM vertices WHERE x % 10 BETWEEN 2 AND 6 AND y % 10 BETWEEN 2 AND 6) v
-    ON v.scan_id = g.scan_id AND fx BETWEEN px - 3 AND px + 3 AND fy BETWEEN py - 3 AND py + 3) a WHERE inside GROUP BY ALL"""))
+def _to_edge(a: str, b: str) -> str:
+    """Distance of p to the segment from corner a to corner b."""
+    along = ssub(sv(b), sv(a))
+    share = f"least(greatest({sdot(ssub(sv('p'), sv(a)), along)} / nullif({sdot(along, along)}, 0), 0), 1)"
+    return snorm(ssub(sv("p"), sadd(sv(a), smul(along, share))))
+
+
+_INSIDE = " AND ".join(f"({sdot(scross(ssub(sv(b), sv(a)), ssub(sv('p'), sv(a))), sv('k'))}) >= 0" for a, b in (("a", "b"), ("b", "c"), ("c", "a")))
+
+
+@query("j12_closest_scan_point", sql(f"""SELECT scan_id, vertex_id, {r('min(dist)', 5)} AS dist FROM (
+    SELECT v.scan_id, v.vertex_id, CASE WHEN {_INSIDE} THEN abs({sdot(ssub(sv('p'), sv('a')), sv('k'))}) / {snorm(sv('k'))}
+        ELSE least({_to_edge('a', 'b')}, {_to_edge('b', 'c')}, {_to_edge('c', 'a')}) END AS dist
+    FROM geo g JOIN (SELECT scan_id, vertex_id, x + 0.45{D} AS px, y + 0.4{D} AS py, 0.3{D} AS pz FROM vertices) v
+    ON v.scan_id = g.scan_id AND gx BETWEEN px - 3 AND px + 3 AND gy BETWEEN py - 3 AND py + 3) GROUP BY ALL HAVING min(dist) <= 1"""))
 def _(t):
-    probes = t.vertices.filter("x % 10 BETWEEN 2 AND 6 AND y % 10 BETWEEN 2 AND 6").select(
-        "scan_id", "vertex_id", (F.col("x") + 0.45).alias("x"), (F.col("y") + 0.4).alias("y"), F.lit(0.3).alias("z"))
+    probes = t.vertices.select("scan_id", "vertex_id", (F.col("x") + 0.45).alias("x"), (F.col("y") + 0.4).alias("y"), F.lit(0.3).alias("z"))
     hits = sp.closest_points(probes, geometry(t).withColumn("tri_id", F.col("face_id")), 1.0)
-    # Probes whose closest point lies inside a face; the plane distance is then exact in SQL too.
-    return hits.filter("code = 0").select("scan_id", "vertex_id", r6(F.col("dist"), 5).alias("dist"))
+    return hits.select("scan_id", "vertex_id", r6(F.col("dist"), 5).alias("dist"))
 
 
 @query("j13_winding_numbers", sql("""SELECT scan_id, vertex_id AS point_id, CASE WHEN x > x0 AND x < x0 + dx AND y > y0 AND y < y0 + dy AND z > z0 AND z < z0 + dz

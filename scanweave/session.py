@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -47,3 +48,10 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """`cut(df)` and how many of its rows meet the condition, counted while they are written."""
+    told = Observation()
+    out = cut(df.observe(told, F.count_if(condition).alias("n")))
+    return out, told.get["n"]

@@ -157,10 +157,12 @@ def simplest_fits(points: DataFrame, noise: float | None = None, chosen: DataFra
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     rows = trials.join(extent, REGION).withColumns({"_order": order, "_usable": ft.finite("sigma") & ~is_degenerate(F.col("extent")) & F.col("settled")})
     wanted = rows.join(chosen.select(*REGION, "kind"), [*REGION, "kind"]).select(*REGION, F.col("_order").alias("_top"), F.col("sigma").alias("_sigma"))
-    # Without a fit of the chosen kind any simpler kind may stand in.
-    rows = rows.join(wanted, REGION, "left")
+    # Where the chosen kind has no sound fit, the best of the others is the measure.
+    best = rows.groupBy(*REGION).agg(F.min(F.when(F.col("_usable"), F.col("sigma"))).alias("_best"))
+    rows = rows.join(wanted, REGION, "left").join(best, REGION)
+    rows = rows.withColumn("_sigma", F.when(ft.finite("_sigma"), F.col("_sigma")).otherwise(F.col("_best")))
     near = (F.col("_order") == F.col("_top")) | F.coalesce(
-        F.col("_usable") & (F.col("_order") < F.col("_top")) & (F.isnan("_sigma") | F.col("_sigma").isNull() | (F.col("sigma") <= SIMPLER_MARGIN * F.col("_sigma"))), F.lit(False))
+        F.col("_usable") & (F.col("_order") < F.coalesce("_top", F.lit(len(KINDS) + 1))) & (F.col("sigma") <= SIMPLER_MARGIN * F.col("_sigma")), F.lit(False))
     if given is not None:
         asked = given.select(*REGION, F.col("kind").alias("_asked"))
         rows = rows.join(asked, REGION, "left")

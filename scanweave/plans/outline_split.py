@@ -323,16 +323,19 @@ def best_entity(fits: DataFrame, opt: SplitOptions = SplitOptions(), error: str
 # ---------------------------------------------------------------- whole outlines
 
 
-def opened(samples: DataFrame) -> DataFrame:
-    """Closed chains turned to start at their sharpest corner, with the first point repeated at the end."""
-    sharp = pl.turning_angles(samples, 3).groupBy(*CHAIN).agg(F.max(F.struct(F.round("angle", 9).alias("angle"), (-F.col("pos")).alias("before"))).alias("_s"))
+def opened(samples: DataFrame, start: DataFrame) -> DataFrame:
+    """Closed chains turned to begin at `start(scan_id, chain_id, start)`, with the first point repeated at the end."""
     n = samples.groupBy(*CHAIN).agg(F.count("*").alias("_n"))
-    start = cut(n.join(sharp, CHAIN, "left").select(*CHAIN, "_n", F.coalesce(-F.col("_s.before"), F.lit(0)).cast("long").alias("start")))
-    turned = samples.join(start, CHAIN).withColumn("_at", F.pmod(F.col("pos") - F.col("start"), F.col("_n")).cast("long"))
+    turned = samples.join(n.join(start, CHAIN), CHAIN).withColumn("_at", F.pmod(F.col("pos") - F.col("start"), F.col("_n")).cast("long"))
     twice = F.when(F.col("_at") == 0, F.array(F.col("_at"), F.col("_n"))).otherwise(F.array("_at"))
     return turned.select(*CHAIN, F.explode(twice).alias("pos"), "u", "v", "start")
 
 
+def _sharpest(angles: DataFrame) -> DataFrame:
+    sharp = angles.groupBy(*CHAIN).agg(F.max(F.struct(F.round("angle", 9).alias("angle"), (-F.col("pos")).alias("before"))).alias("_s"))
+    return sharp.select(*CHAIN, (-F.col("_s.before")).cast("long").alias("start"))
+
+
 def _merge_round(segments: DataFrame, samples: DataFrame, scale: DataFrame, opt: SplitOptions, closed: bool) -> DataFrame | None:
     """Segments after merging neighbours that one entity describes; None when nothing merges."""
     size = segments.groupBy(*CHAIN).agg(F.count("*").alias("_count")).join(scale.select(*CHAIN, F.col("points").alias("_end")), CHAIN)
@@ -373,7 +376,19 @@ def split_outlines(samples: DataFrame, closed: bool, opt: SplitOptions = SplitOp
     noise = pl.noise(samples, closed).select(*CHAIN, F.col("noise").alias("sigma"), "points")
     length = pl.arc_lengths(samples, closed).groupBy(*CHAIN).agg(F.avg("step").alias("spacing"))
     scale = cut(noise.join(length, CHAIN).withColumn("spacing", F.lit(spacing) if spacing else F.col("spacing")))
-    line = cut(opened(samples)) if closed else samples.withColumn("start", F.lit(0).cast("long"))
+    if closed:
+        # A first split from the sharpest corner; the sharpest of its junctions is where the second begins,
+        # because a start inside an entity leaves a piece of it too short to stand.
+        angles = cut(pl.turning_angles(samples, 3))
+        rough = cut(samples.select(*CHAIN).distinct().join(_sharpest(angles), CHAIN, "left").withColumn("start", F.coalesce("start", F.lit(0).cast("long"))))
+        first = split_chains(cut(opened(samples, rough)), scale, opt).filter("first > 0")
+        at = first.join(rough, CHAIN).join(scale.select(*CHAIN, F.col("points").alias("_n")), CHAIN)
+        at = at.select(*CHAIN, F.pmod(F.col("first") + F.col("start"), F.col("_n")).alias("pos"))
+        better = _sharpest(at.join(angles, [*CHAIN, "pos"])).withColumnRenamed("start", "_better")
+        start = rough.join(better, CHAIN, "left").select(*CHAIN, F.coalesce("_better", "start").alias("start"))
+        line = cut(opened(samples, start))
+    else:
+        line = samples.withColumn("start", F.lit(0).cast("long"))
     segments = cut(split_chains(line, scale, opt))
     n = line.groupBy(*CHAIN).agg(F.max("pos").alias("_n"), F.max("start").alias("start"))
     if closed:

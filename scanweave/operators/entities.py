@@ -14,6 +14,7 @@ from scanweave.functions import snapping as sn
 from scanweave.functions.vec import frame_from_axis, hypot, stage, vec
 from scanweave.operators.measure import measure_pairs
 from scanweave.operators.polylines import MOMENTS, line_sse, prefix_moments, range_moments, sorted_neighbours
+from scanweave.session import dealt
 
 # Fixed values.
 ANGLE_TOL = pi / 180
@@ -158,7 +159,7 @@ def measurement_sigma(items: DataFrame, pairs: DataFrame, draws: int = DRAWS) ->
     times; a value needs at least half of the draws.
     """
     e, g = frame_from_axis(vec("n"))
-    own = stage(items, _e=e, _g=g)
+    own = stage(dealt(items, "scan_id", "item_id", rows=2_000), _e=e, _g=g)
     n = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
     drawn = own.select("*", n)
     noise = {k: _normal(10 * s, "scan_id", "item_id", "draw") for s, k in enumerate(("t1", "t2", "s1", "s2", "s3", "d"), start=1)}
@@ -169,9 +170,10 @@ def measurement_sigma(items: DataFrame, pairs: DataFrame, draws: int = DRAWS) ->
     shaken = drawn.select(
         F.concat_ws("#", "scan_id", "draw").alias("scan_id"), "item_id", "item", (F.col("diameter") + F.col("_d") * F.col("size_sigma")).alias("diameter"),
         *at.named("o"), *vec("_n").unit().named("n"))
-    each = pairs.select("scan_id", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select(
+    each = dealt(pairs, "scan_id", "a", "b", rows=2_000).select("scan_id", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select(
         F.concat_ws("#", "scan_id", "draw").alias("scan_id"), "a", "b")
-    values = measure_pairs(shaken, each).withColumn("scan_id", F.substring_index("scan_id", "#", 1))
+    # Both sides hold a row per draw, which their sizes do not tell beforehand: neither may be broadcast.
+    values = measure_pairs(shaken.hint("merge"), each).withColumn("scan_id", F.substring_index("scan_id", "#", 1))
     nominal = measure_pairs(items, pairs).select("scan_id", "a", "b", F.col("distance").alias("d0"), F.col("angle_deg").alias("a0"))
     row = values.join(nominal, ["scan_id", "a", "b"])
     spread = lambda v, ref: F.when(F.count(F.col(v) - F.col(ref)) >= draws // 2, F.sqrt(F.avg((F.col(v) - F.col(ref)) ** 2)))

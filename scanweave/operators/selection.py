@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanweave.functions.vec import V, vec
+from scanweave.session import dealt
 
 KEY = ["scan_id", "face_id"]
 
@@ -115,10 +116,10 @@ def in_circles(points: DataFrame, circles: DataFrame, cell: float = CELL) -> Dat
         low, high = F.col(c) - F.col("radius"), F.col(c) + F.col("radius")
         return F.sequence(F.floor(low / cell), F.floor(high / cell))
 
-    spread = circles.withColumn("_i", F.explode(span("cx"))).withColumn("_j", F.explode(span("cy")))
+    spread = dealt(circles, "scan_id", "circle_id").withColumn("_i", F.explode(span("cx"))).withColumn("_j", F.explode(span("cy")))
     placed = points.withColumn("_i", F.floor(F.col("px") / cell)).withColumn("_j", F.floor(F.col("py") / cell))
     gap = F.pow(F.col("px") - F.col("cx"), 2) + F.pow(F.col("py") - F.col("cy"), 2)
-    return placed.join(spread, ["scan_id", "_i", "_j"]).filter(gap <= F.col("radius") * F.col("radius")).select(
+    return placed.join(spread.hint("merge"), ["scan_id", "_i", "_j"]).filter(gap <= F.col("radius") * F.col("radius")).select(
         "scan_id", "circle_id", "face_id"
     )
 
@@ -150,13 +151,14 @@ def scanline_spans(edges: DataFrame) -> DataFrame:
 
 def in_polygons(points: DataFrame, edges: DataFrame, block: int = 32) -> DataFrame:
     """Points `(scan_id, face_id, px, py)` whose pixel lies in a polygon."""
-    spans = scanline_spans(edges).withColumn(
+    # Every edge becomes a span per pixel row, far more than its size tells: never broadcast.
+    spans = scanline_spans(dealt(edges, "scan_id", "polygon_id")).withColumn(
         "_block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block)))
     )
     placed = points.select(
         "scan_id", "face_id", F.floor("px").alias("_column"), F.floor("py").alias("row"),
         F.floor(F.floor("px") / block).alias("_block"),
     )
-    return placed.join(spans, ["scan_id", "row", "_block"]).filter("_column >= start AND _column < stop").select(
+    return placed.join(spans.hint("merge"), ["scan_id", "row", "_block"]).filter("_column >= start AND _column < stop").select(
         "scan_id", "polygon_id", "face_id"
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scanweave.functions.outlines import segment_distance
 from scanweave.functions.vec import hypot
-from scanweave.session import cut
+from scanweave.session import cut, dealt
 
 
 def _span(low: Column, high: Column, cell) -> Column:
@@ -21,19 +21,22 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, cell: float) -> Data
     meet the polygons whose box covers their cell, then only the edges of that polygon in
     their own row of cells.
     """
+    edges = dealt(edges, "scan_id", "polygon_id")
     box = edges.groupBy("scan_id", "polygon_id").agg(
         *[f(g(f"{c}0", f"{c}1")).alias(f"{n}{c}") for c in "xy" for n, f, g in (("lo", F.min, F.least), ("hi", F.max, F.greatest))]
     )
     cells = box.withColumn("_i", _span(F.col("lox"), F.col("hix"), cell)).withColumn("_j", _span(F.col("loy"), F.col("hiy"), cell))
     placed = points.withColumns({"_i": F.floor(F.col("u") / cell), "_j": F.floor(F.col("v") / cell)})
-    near = placed.join(cells, ["scan_id", "_i", "_j"]).filter("u BETWEEN lox AND hix AND v BETWEEN loy AND hiy").select(
+    near = placed.join(cells.hint("merge"), ["scan_id", "_i", "_j"]).filter("u BETWEEN lox AND hix AND v BETWEEN loy AND hiy").select(
         "scan_id", "polygon_id", "point_id", "u", "v", "_j"
     )
     rows = edges.filter("y0 <> y1").withColumn("_j", _span(F.least("y0", "y1"), F.greatest("y0", "y1"), cell))
     u, v, x0, y0, x1, y1 = (F.col(c) for c in ("u", "v", "x0", "y0", "x1", "y1"))
     crossing = ((y0 > v) != (y1 > v)) & (u < (x0 - x1) * (v - y1) / (y0 - y1) + x1)
-    met = near.join(rows, ["scan_id", "polygon_id", "_j"]).filter(crossing)
-    return met.groupBy("scan_id", "polygon_id", "point_id").agg(F.count("*").alias("n")).filter("n % 2 = 1").drop("n")
+    met = near.join(rows.hint("merge"), ["scan_id", "polygon_id", "_j"]).filter(crossing)
+    # A point has one row of cells: grouping by the join key too needs no new exchange.
+    odd = met.groupBy("scan_id", "polygon_id", "_j", "point_id").agg(F.count("*").alias("n")).filter("n % 2 = 1")
+    return odd.select("scan_id", "polygon_id", "point_id")
 
 
 def smallest_enclosing(points: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
@@ -65,7 +68,7 @@ def assign_points(points: DataFrame, entities: DataFrame, band: float) -> DataFr
     """Nearest line entity `(entity_id, x0, y0, x1, y1)` of every point within a band."""
     cell = 2.0 * band
     placed = points.withColumns({"_i": F.floor(F.col("u") / cell), "_j": F.floor(F.col("v") / cell)})
-    met = placed.join(_segment_cells(entities, cell, band), ["scan_id", "_i", "_j"])
+    met = placed.join(_segment_cells(dealt(entities, "scan_id", "entity_id"), cell, band).hint("merge"), ["scan_id", "_i", "_j"])
     d = segment_distance(*[F.col(c) for c in ("u", "v", "x0", "y0", "x1", "y1")])
     best = met.select("scan_id", "point_id", F.struct(d.alias("d"), "entity_id").alias("_b")).groupBy("scan_id", "point_id").agg(F.min("_b").alias("_b"))
     return best.select("scan_id", "point_id", "_b.*").filter(F.col("d") <= band)
@@ -81,11 +84,11 @@ def entity_fits(assigned: DataFrame, tolerance: float) -> DataFrame:
 
 def nearest_within(queries: DataFrame, points: DataFrame, reach: float) -> DataFrame:
     """Nearest point of every query `(scan_id, q_id, u, v)` within `reach`; absent beyond it."""
-    q = queries.select("scan_id", "q_id", F.col("u").alias("qu"), F.col("v").alias("qv"))
+    q = dealt(queries, "scan_id", "q_id").select("scan_id", "q_id", F.col("u").alias("qu"), F.col("v").alias("qv"))
     q = q.withColumn("_i", _span(F.col("qu") - reach, F.col("qu") + reach, 2 * reach)).withColumn("_j", _span(F.col("qv") - reach, F.col("qv") + reach, 2 * reach))
     placed = points.select("scan_id", "point_id", "u", "v", F.floor(F.col("u") / (2 * reach)).alias("_i"), F.floor(F.col("v") / (2 * reach)).alias("_j"))
     d = hypot(F.col("qu") - F.col("u"), F.col("qv") - F.col("v"))
-    met = q.join(placed, ["scan_id", "_i", "_j"]).select("scan_id", "q_id", F.struct(d.alias("dist"), "point_id").alias("_b"))
+    met = q.hint("merge").join(placed, ["scan_id", "_i", "_j"]).select("scan_id", "q_id", F.struct(d.alias("dist"), "point_id").alias("_b"))
     return met.groupBy("scan_id", "q_id").agg(F.min("_b").alias("_b")).select("scan_id", "q_id", "_b.*").filter(F.col("dist") <= reach)
 
 

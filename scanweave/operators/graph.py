@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from scanweave.session import cut
 
-CHUNK_EDGES = 1_000_000
+CHUNK_EDGES = 200_000
 MAX_ROUNDS = 60
 
 

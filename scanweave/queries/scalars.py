@@ -11,6 +11,7 @@ from scanweave.functions.vec import V, frame_from_axis, r6, transform, vec
 from scanweave.operators import mesh
 from scanweave.operators.measure import measure_pairs
 from scanweave.registry import query
+from scanweave.session import dealt
 
 D = "::DOUBLE"
 
@@ -443,14 +444,14 @@ def _(t):
     k = F.col("c_custkey")
     sweep = F.when(k % 2 == 0, k % 50 * 0.125 + 0.05).otherwise(-(k % 50 * 0.125 + 0.05))
     pts = ol.curve_points((k % 9).cast("double"), (k % 5).cast("double"), F.lit(3.0) + k % 4, k % 63 * 0.1, sweep, ol.arc_steps(sweep))
-    return t.read("customer").select(k.alias("k"), F.inline(pts)).select("k", "n", r6(F.col("u")).alias("u"), r6(F.col("v")).alias("v"))
+    return dealt(t.read("customer").select("c_custkey"), "c_custkey").select(k.alias("k"), F.inline(pts)).select("k", "n", r6(F.col("u")).alias("u"), r6(F.col("v")).alias("v"))
 
 
 @query("p30_circle_points", sql(f"""SELECT k, n, {r(f'ax + ar * cos({_TAU} * n / 120)')} AS u, {r(f'ay + ar * sin({_TAU} * n / 120)')} AS v FROM pairs_, range(0, 121) t(n)""", **CARRIERS))
 def _(t):
     k = F.col("c_custkey")
     pts = ol.curve_points((k % 9).cast("double"), (k % 5).cast("double"), F.lit(3.0) + k % 4, F.lit(0.0), F.lit(6.283185307179586), ol.circle_steps())
-    return t.read("customer").select(k.alias("k"), F.inline(pts)).select("k", "n", r6(F.col("u")).alias("u"), r6(F.col("v")).alias("v"))
+    return dealt(t.read("customer").select("c_custkey"), "c_custkey").select(k.alias("k"), F.inline(pts)).select("k", "n", r6(F.col("u")).alias("u"), r6(F.col("v")).alias("v"))
 
 
 @query("p30_template_edges", sql(f"""SELECT k, count(*) AS edges, {r('sum(len)', 5)} AS perimeter FROM (

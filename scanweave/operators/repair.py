@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scanweave.functions.vec import V, vec
 from scanweave.operators import mesh
 from scanweave.operators.graph import components, vertex_parts
+from scanweave.session import few
 
 # Fixed values.
 WELD_GRID_BITS = 20
@@ -42,7 +43,7 @@ def soup_vertices(soup: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def weld_map(vertices: DataFrame) -> DataFrame:
     """`(scan_id, vertex_id, kept_id)`: the smallest vertex id of each weld cell."""
-    box = mesh.bounds(vertices)
+    box = few(mesh.bounds(vertices))
     extent = F.greatest(*[F.col(f"max_{c}") - F.col(f"min_{c}") for c in "xyz"])
     cells = (
         vertices.join(box, "scan_id")
@@ -76,7 +77,7 @@ def degenerate_faces(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 def degenerate_gathered(vertices: DataFrame, tri: DataFrame) -> DataFrame:
     """The same for faces whose corners are already gathered."""
-    box = mesh.bounds(vertices).select("scan_id", mesh.diagonal().alias("_diagonal"))
+    box = few(mesh.bounds(vertices).select("scan_id", mesh.diagonal().alias("_diagonal")))
     repeated = (F.col("v0") == F.col("v1")) | (F.col("v1") == F.col("v2")) | (F.col("v0") == F.col("v2"))
     flat = mesh.face_cross().norm() <= 2.0 * F.pow(1e-9 * F.col("_diagonal"), 2)
     return tri.join(box, "scan_id").filter(repeated | flat).select("scan_id", "face_id")

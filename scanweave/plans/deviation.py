@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanweave.operators import deviation_stats as ds, mesh, spatial
-from scanweave.session import cut
+from scanweave.session import cut, few
 
 
 class DeviationMap(NamedTuple):
@@ -54,4 +54,4 @@ def near_bodies(vertices: DataFrame, tri: DataFrame, max_distance: float) -> Dat
     inside = F.lit(True)
     for c in "xyz":
         inside = inside & F.col(c).between(F.col(f"_lo{c}") - max_distance, F.col(f"_hi{c}") + max_distance)
-    return vertices.join(box, "scan_id").filter(inside).select(*vertices.columns)
+    return vertices.join(few(box), "scan_id").filter(inside).select(*vertices.columns)

@@ -222,12 +222,13 @@ def refine_constrained(points: DataFrame, fits: DataFrame, constraints: DataFram
     own = fits.select(*_names(ft.PRIMITIVE)).join(given, FIT, "left").select(*_names(_STATE))
     counts = points.groupBy(*KEY).agg(F.count("*").alias("_n"))
     start = cut(_levelled(own, counts).mapInPandas(lambda it: map(_pinned, it), _STATE))
-    first = cut(ft._with_jacobian(points.join(start.drop("tie", "same_direction", "same_size", *VALUES), KEY)).select(*FIT, "_r"))
+    near, large = ft.held_regions(points)
+    first = cut(ft._with_jacobian(ft.meeting(near, large, start.drop("tie", "same_direction", "same_size", *VALUES))).select(*FIT, "_r"))
     scale = robust_sigma(first.filter(ft.finite("_r")), FIT, "_r", "scale").select(*FIT, F.greatest("scale", F.lit(1e-3)).alias("scale"))
     current = cut(start.join(scale, FIT, "left").withColumn("scale", F.coalesce("scale", F.lit(1e-3))))
     schema, done = f"{_STATE}, scale double, moved double", []
     for _ in range(rounds):
-        sums = ft.weighted_sums(ft._with_jacobian(points.join(current.select(*_names(ft.PRIMITIVE), "scale"), KEY))).drop("loss")
+        sums = ft.weighted_sums(ft._with_jacobian(ft.meeting(near, large, current.select(*_names(ft.PRIMITIVE), "scale")))).drop("loss")
         # Read twice below: by the groups and by the steps.
         equations = cut(sums.join(current, FIT))
         left = equations.filter("tie IS NOT NULL").mapInPandas(_remainders, "scan_id string, tie long, " + ", ".join(f"{c} double" for c in _LEFT))
@@ -241,6 +242,7 @@ def refine_constrained(points: DataFrame, fits: DataFrame, constraints: DataFram
         if not moving:
             break
         current = current.drop("moved", "_most")
+    near.unpersist()
     result = current.withColumn("settled", F.lit(False)).select(*_names(ft.PRIMITIVE), "settled")
     for part in done:
         result = result.unionByName(part.select(*_names(ft.PRIMITIVE), "settled"))

@@ -9,7 +9,7 @@ from scanweave.functions.primitives import signed_distance
 from scanweave.functions.vec import V, vec
 from scanweave.operators.graph import components
 from scanweave.operators.quantiles import exact_percentiles
-from scanweave.session import cut
+from scanweave.session import cut, held
 
 KEY = ["scan_id", "face_id"]
 
@@ -43,19 +43,26 @@ def grow_normal(seeds: DataFrame, pairs: DataFrame, normals: DataFrame, max_angl
 
     Every seed has its own cone, so the frontier carries the seed; seeds grow side by side.
     """
-    links = cut(pairs.select("scan_id", F.inline(F.array(
-        F.struct(F.col("fa").alias("face_id"), F.col("fb").alias("other")), F.struct(F.col("fb").alias("face_id"), F.col("fa").alias("other"))))))
     limit = F.cos(F.radians(F.lit(max_angle_deg)))
-    seed_normal = seeds.select(*KEY).join(normals, KEY).select("scan_id", F.col("face_id").alias("seed"), *[F.col(f"n{c}").alias(f"s{c}") for c in "xyz"])
+    seed_normal = cut(seeds.select(*KEY).join(normals, KEY).select("scan_id", F.col("face_id").alias("seed"), *[F.col(f"n{c}").alias(f"s{c}") for c in "xyz"]))
     other = normals.select("scan_id", F.col("face_id").alias("other"), *[f"n{c}" for c in "xyz"])
-    seen = cut(seeds.select("scan_id", F.col("face_id").alias("seed"), "face_id"))
-    frontier = seen
+    both = pairs.select("scan_id", F.inline(F.array(
+        F.struct(F.col("fa").alias("face_id"), F.col("fb").alias("other")), F.struct(F.col("fb").alias("face_id"), F.col("fa").alias("other")))))
+    links = held(cut(both.join(other, ["scan_id", "other"])), *KEY)
+    frontier = cut(seeds.select("scan_id", F.col("face_id").alias("seed"), "face_id"))
+    seen, before, ring = frontier, None, 0
     while True:
-        reached = frontier.join(links, KEY).join(seed_normal, ["scan_id", "seed"]).join(other, ["scan_id", "other"]).filter(vec("n").dot(vec("s")) > limit)
-        frontier = cut(reached.select("scan_id", "seed", F.col("other").alias("face_id")).distinct().join(seen, ["scan_id", "seed", "face_id"], "left_anti"))
-        if frontier.isEmpty():
+        reached = frontier.join(links, KEY).join(seed_normal, ["scan_id", "seed"]).filter(vec("n").dot(vec("s")) > limit)
+        # Links go both ways, so a neighbour of a ring that is not new lies in this ring or the one before.
+        known = frontier if before is None else frontier.unionByName(before)
+        found = cut(reached.select("scan_id", "seed", F.col("other").alias("face_id")).distinct().join(known, ["scan_id", "seed", "face_id"], "left_anti"))
+        if found.isEmpty():
+            links.unpersist()
             return seen
-        seen = cut(seen.unionByName(frontier))
+        before, frontier, ring = frontier, found, ring + 1
+        seen = seen.unionByName(found)
+        if ring % 64 == 0:
+            seen = cut(seen)
 
 
 def fill_wave(labels: DataFrame, links: DataFrame, normals: DataFrame) -> DataFrame:

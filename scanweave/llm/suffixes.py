@@ -240,17 +240,18 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, text_hash, start, end): bytes of repeats, overlapping, for `docs(id, text_hash, text)`."""
+    # Tables that grow with the anchors are merged at every size: a broadcast of them is built in the driver's memory.
     everywhere = settled(docs.mapInPandas(_located, "id long, text_hash long, h long, around long, pos long"))
     often = settled(everywhere.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
-    found = settled(everywhere.join(often, "h"))
+    found = settled(everywhere.join(often.hint("merge"), "h"))
     forget(everywhere, often)
     place = F.struct("id", "text_hash", "pos")
     kinds = settled(found.groupBy("h", "around").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    copies = settled(found.join(kinds.filter("n > 1"), ["h", "around"]).filter(place != F.col("first"))
+    copies = settled(found.join(kinds.filter("n > 1").hint("merge"), ["h", "around"]).filter(place != F.col("first"))
                      .select("id", "text_hash", F.greatest(F.col("pos") - (LENGTH - GRAM), F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("end")))
     forget(found)
     mixed = settled(kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
-    several = kinds.join(mixed, "h").select("h", "first.*")
+    several = kinds.join(mixed.hint("merge"), "h").select("h", "first.*")
     by_doc = several.groupBy("id", "text_hash").agg(F.collect_list(F.struct("h", "pos")).alias("places"))
     # Texts are merged with their places at every size, so small and large tables share one plan.
     around = settled(docs.join(by_doc.hint("merge"), ["id", "text_hash"])
@@ -263,7 +264,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     windows = settled(around.join(hot, "h", "left_semi").mapInPandas(_windows, "h long, before int, window long, id long, text_hash long, pos long"))
     forget(around, mixed, hot)
     firsts = windows.groupBy("h", "before", "window").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    hashed = settled(windows.join(firsts, ["h", "before", "window"]).filter(place != F.col("first"))
+    hashed = settled(windows.join(firsts.hint("merge"), ["h", "before", "window"]).filter(place != F.col("first"))
                      .groupBy("id", "text_hash", "pos").agg(F.max("before").alias("most"), F.min("before").alias("least"))
                      .select("id", "text_hash", (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + LENGTH).alias("end")))
     forget(windows)

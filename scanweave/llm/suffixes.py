@@ -29,6 +29,8 @@ SMALL = 24
 #: Anchors with more different surroundings are compared by their hashed strings over many tasks.
 CLASS_ROWS = 1_000
 BUCKET_ROWS = 8_000
+#: Neighbouring strings over such an anchor that are hashed one by one only where the bytes common to them occur twice.
+PART = 12
 NO_ID = -(1 << 63)
 
 _BASE = 0x9E3779B97F4A7C15
@@ -199,13 +201,29 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     return found.assign(start=frame["pos"][hit] - most[hit], end=frame["pos"][hit] - least[hit] + LENGTH)
 
 
+def _cores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each PART of the strings over an anchor, the hash of the bytes that all of them hold."""
+    most = LENGTH - GRAM
+    for batch in batches:
+        rows = []
+        for doc, text, pos, prefix, suffix in batch[["id", "text_hash", "pos", "prefix", "suffix"]].itertuples(index=False):
+            whole, anchor = prefix + suffix, len(prefix)
+            for low in range(0, min(anchor, most) + 1, PART):
+                length = LENGTH - min(low + PART - 1, most)
+                if length <= len(suffix):
+                    rows.append((xxhash.xxh3_64_intdigest(whole[anchor - low:anchor + length], seed=low) - (1 << 63), low // PART, doc, text, pos))
+        yield pd.DataFrame(rows, columns=["core", "part", "id", "text_hash", "pos"])
+
+
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The strings of LENGTH bytes over each anchor, as hashes, with the bytes before the anchor."""
+    """The strings of LENGTH bytes over each anchor in its `parts`, as hashes, with the bytes before the anchor."""
     for batch in batches:
         rows = []
-        for h, doc, text, pos, prefix, suffix in batch[["h", "id", "text_hash", "pos", "prefix", "suffix"]].itertuples(index=False):
-            whole = prefix + suffix
+        for h, doc, text, pos, prefix, suffix, parts in batch[["h", "id", "text_hash", "pos", "prefix", "suffix", "parts"]].itertuples(index=False):
+            whole, chosen = prefix + suffix, set(parts)
             for before in range(max(0, LENGTH - len(suffix)), min(len(prefix), LENGTH - GRAM) + 1):
+                if before // PART not in chosen:
+                    continue
                 start = len(prefix) - before
                 rows.append((h, before, xxhash.xxh3_64_intdigest(whole[start:start + LENGTH]) - (1 << 63), doc, text, pos))
         yield pd.DataFrame(rows, columns=["h", "before", "window", "id", "text_hash", "pos"])
@@ -261,8 +279,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     buckets = max(1, -(-around.count() // BUCKET_ROWS))
     sorted_ = settled(around.join(hot, "h", "left_anti").withColumn("_bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
                       .groupBy("_bucket").applyInPandas(_shared, _SPAN))
-    windows = settled(around.join(hot, "h", "left_semi").mapInPandas(_windows, "h long, before int, window long, id long, text_hash long, pos long"))
+    crowded = settled(around.join(hot, "h", "left_semi"))
     forget(around, mixed, hot)
+    # Equal strings have equal cores, so a core that occurs once rules out its part of the strings.
+    cores = settled(crowded.mapInPandas(_cores, "core long, part int, id long, text_hash long, pos long"))
+    twice = cores.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
+    parts = (cores.join(twice.hint("merge"), "core").groupBy("id", "text_hash", "pos").agg(F.collect_set("part").alias("parts")))
+    windows = settled(crowded.join(parts.hint("merge"), ["id", "text_hash", "pos"])
+                      .mapInPandas(_windows, "h long, before int, window long, id long, text_hash long, pos long"))
+    forget(crowded, cores)
     firsts = windows.groupBy("h", "before", "window").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     hashed = settled(windows.join(firsts.hint("merge"), ["h", "before", "window"]).filter(place != F.col("first"))
                      .groupBy("id", "text_hash", "pos").agg(F.max("before").alias("most"), F.min("before").alias("least"))

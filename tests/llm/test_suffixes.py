@@ -97,3 +97,48 @@ def test_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     found = sorted((tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in QUERIES["op6_suffix_repeats"](spark, SF).collect()), key=str)
     assert found == brute(rows)
+
+
+def executed_joins(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_that_grow_are_not_broadcast(spark, documents, monkeypatch):
+    """Spark would send these short tables to the driver; at size they took its memory."""
+    from scanweave.llm import suffixes
+
+    plans = []
+    true_settled = suffixes.settled
+    monkeypatch.setattr(suffixes, "settled", lambda df: (plans.append(executed_joins(df)), true_settled(df))[1])
+    suffixes.remove_repeats(documents(some_texts(3))).count()
+    # Only the short table of crowded anchors (one of CLASS_ROWS contexts or more each) may be broadcast.
+    assert sum("BroadcastHashJoin" in p for p in plans) <= 2 and sum("SortMergeJoin" in p for p in plans) >= 4
+    assert all("LeftAnti" in p or "LeftSemi" in p for p in plans if "BroadcastHashJoin" in p)
+
+
+def test_crowded_anchors_give_few_windows(spark, documents, monkeypatch):
+    """Strings over a frequent phrase are hashed one by one only where a neighbour shares most of them."""
+    from scanweave.llm import suffixes
+
+    rng = random.Random(9)
+    phrase = "".join(rng.choice("abcdefgh") for _ in range(70))
+
+    def run(n):
+        return "".join(rng.choice("abcdefgh ") for _ in range(n))
+
+    rows = [(i, run(200) + phrase + run(200)) for i in range(60)]
+    rows.append((60, rows[0][1][150:320]))
+    monkeypatch.setattr(suffixes, "CLASS_ROWS", 3)
+    made = []
+    true_settled = suffixes.settled
+
+    def counted(df):
+        out = true_settled(df)
+        if "window" in out.columns and "before" in out.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffixes, "settled", counted)
+    assert got(documents(rows)) == brute(rows)
+    # The two equal surroundings are settled by hash; the 60 others share the phrase only.
+    assert made and sum(made) < 60 * 12

@@ -22,6 +22,9 @@ QUERY_PART, ROW_PART = 512, 4_096
 #: Rows of a wave over all rows before it.
 GROWTH = 4
 MAXSCORE_QUERIES, MAXSCORE_ROWS = 512, 2_048
+#: Pairs whose non-essential terms are probed at once, and the floor of a query without `k` rows.
+PROBES = 65_536
+LOWEST = -(1 << 63)
 SEED = 7
 #: Width of the error interval in standard errors of the estimate; wider reranks more rows.
 WIDTH = 3.5
@@ -182,7 +185,7 @@ def _centres(sound: DataFrame) -> dict[int, np.ndarray]:
 
 
 class Postings:
-    """Posting lists of a block of integer vectors: for every dimension its rows and weights.
+    """Posting lists of a block of integer vectors: for every dimension the weights of its rows.
 
     Rows are held in windows by ascending id, so a later row never displaces an equal score.
     """
@@ -191,54 +194,55 @@ class Postings:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids = ids[order]
-        self.columns = np.ascontiguousarray(vectors[order].T)
-        self.most, self.least = self.columns.max(axis=1), self.columns.min(axis=1)
-        self.lists = []
-        for start in range(0, len(ids), self.WINDOW):
-            part = self.columns[:, start:start + self.WINDOW]
-            # A list that holds every row of its window needs no row numbers.
-            self.lists.append((start, part.shape[1], [
-                (None if column.all() else np.flatnonzero(column), column[column != 0]) for column in part]))
-
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the `k` best rows, best first, ties to the smaller id."""
-        bound = np.maximum(np.maximum(query * self.most, query * self.least), 0)
-        order = np.argsort(bound, kind="stable")
-        order = order[query[order] != 0]
-        below = np.cumsum(bound[order])
-        best_ids, best, threshold = np.zeros(0, np.int64), np.zeros(0, np.int64), None
-        for start, size, lists in self.lists:
-            # Terms whose bounds together cannot pass the threshold are non-essential.
-            split = 0 if threshold is None else int(np.searchsorted(below, threshold, side="right"))
-            total = np.zeros(size, np.int64)
-            for term in order[split:]:
-                rows, weights = lists[term]
-                if rows is None:
-                    total += query[term] * weights
-                else:
-                    total[rows] += query[term] * weights
-            if threshold is None:
-                alive = np.arange(size)
-            else:
-                rest = int(below[split - 1]) if split else 0
-                alive = np.flatnonzero(total + rest > threshold)
-                for place in range(split - 1, -1, -1):
-                    if not len(alive):
-                        break
-                    term = order[place]
-                    total[alive] += query[term] * self.columns[term, start + alive]
-                    rest -= int(bound[term])
-                    alive = alive[total[alive] + rest > threshold]
-            alive = alive[self.ids[start + alive] != own]
-            if not len(alive):
-                continue
-            best_ids, best = np.r_[best_ids, self.ids[start + alive]], np.r_[best, total[alive]]
-            keep = np.lexsort((best_ids, -best))[:k]
-            best_ids, best = best_ids[keep], best[keep]
-            if len(best) == k:
-                threshold = int(best[-1])
-        return best_ids, best
+        self.ids, self.rows = ids[order], vectors[order]
+        self.most, self.least = self.rows.max(axis=0), self.rows.min(axis=0)
+
+    def search(self, own: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query numbers, ids and scores of each query's `k` best rows above its floor, ties to the smaller id."""
+        bound = np.maximum(np.maximum(queries * self.most, queries * self.least), 0)
+        order = np.argsort(bound, axis=1, kind="stable")
+        below = np.cumsum(np.take_along_axis(bound, order, axis=1), axis=1)
+        place = np.argsort(order, axis=1, kind="stable")
+        # Products of whole numbers are exact in doubles as long as no sum passes 2**53.
+        sizes = np.abs(queries.astype(np.float64)) @ np.maximum(np.abs(self.most.astype(np.float64)), np.abs(self.least.astype(np.float64)))
+        kind = np.float64 if not len(sizes) or sizes.max() < 2**52 else np.int64
+        floors = floors.copy()
+        found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for start in range(0, len(self.ids), self.WINDOW):
+            ids, rows = self.ids[start:start + self.WINDOW], self.rows[start:start + self.WINDOW].astype(kind)
+            # Terms whose bounds together cannot pass the floor are non-essential.
+            split = (below <= floors[:, None]).sum(axis=1)
+            essential = place >= split[:, None]
+            rest = np.where(split > 0, np.take_along_axis(below, np.maximum(split - 1, 0)[:, None], axis=1)[:, 0], 0) if below.shape[1] else split
+            total = np.where(essential, queries, 0).astype(kind) @ rows.T
+            if kind is np.float64:
+                total = total.astype(np.int64)
+            alive = (total + rest[:, None] > floors[:, None]) & (own[:, None] != ids[None, :])
+            if len(ids) > k + 1 and kind is np.float64:
+                # At least k rows other than the query itself score no less than the essential terms say, less what the others may take away.
+                least = np.where(essential, 0, np.minimum(np.minimum(queries * self.most, queries * self.least), 0)).sum(axis=1)
+                known = np.where(own[:, None] != ids[None, :], total, total.min(axis=1, keepdims=True))
+                kth = np.partition(known, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1] + least
+                alive &= total + rest[:, None] >= kth[:, None]
+            q, r = np.nonzero(alive)
+            scores = total[q, r]
+            # Non-essential terms are probed only for rows that can still compete.
+            others = np.where(essential, 0, queries)
+            open_ = np.flatnonzero(split[q] > 0)
+            for part in range(0, len(open_), PROBES):
+                at = open_[part:part + PROBES]
+                scores[at] += np.einsum("pd,pd->p", others[q[at]], self.rows[start + r[at]])
+            held = scores > floors[q]
+            numbers, all_ids, all_scores = (np.r_[old, more] for old, more in zip(found, (q[held], ids[r[held]], scores[held])))
+            turn = np.lexsort((all_ids, -all_scores, numbers))
+            numbers = numbers[turn]
+            first = np.searchsorted(numbers, np.arange(len(own)))
+            rank = np.arange(len(turn)) - first[numbers]
+            turn, numbers, rank = turn[rank < k], numbers[rank < k], rank[rank < k]
+            found = numbers, all_ids[turn], all_scores[turn]
+            last = rank == k - 1
+            floors[numbers[last]] = np.maximum(floors[numbers[last]], found[2][last])
+        return found
 
 
 def inner_product_search(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
@@ -247,7 +251,8 @@ def inner_product_search(vectors: DataFrame, queries: Column, k: int = 20) -> Da
     `vectors(vec_id, vector array<long>)`. Terms are dimensions. Within a block of rows, the terms
     whose score bounds together stay below the k-th score so far are non-essential: the other
     terms' postings are traversed, and non-essential terms are probed only for rows that can still
-    compete. Blocks are merged per query; ties go to the smaller id. Null vectors, vectors with
+    compete. The blocks of rows are met in waves, each GROWTH times the size of all before, and a query
+    enters a wave with its k-th score so far. Ties go to the smaller id. Null vectors, vectors with
     nulls and null ids take no part; vectors meet those of their own dimension; repeated rows count
     once; an empty table gives no rows. Sums must fit 64 bits.
     """
@@ -260,20 +265,30 @@ def inner_product_search(vectors: DataFrame, queries: Column, k: int = 20) -> Da
     query_blocks = shard_count(asked.count(), MAXSCORE_QUERIES)
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = {"query_id": [], "vec_id": [], "score": []}
-        if len(left) and len(right):
-            held = Postings(right["vec_id"].to_numpy(), np.stack(right["vector"].to_numpy()).astype(np.int64).reshape(len(right), -1))
-            for own, query in zip(left["vec_id"], left["vector"]):
-                ids, scores = held.search(np.asarray(query, dtype=np.int64), own, k)
-                found["query_id"].append(np.full(len(ids), own))
-                found["vec_id"].append(ids)
-                found["score"].append(scores)
-        return pd.DataFrame({name: np.concatenate([np.zeros(0, np.int64), *parts]) for name, parts in found.items()})
-
-    left = (asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("rb", every(row_blocks)))
-    right = (smallest_ids(sound, "vector", k + 1)
-             .withColumn("rb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(row_blocks)).cast("int")).withColumn("qb", every(query_blocks)))
-    found = (left.groupBy("dim", "qb", "rb").cogroup(right.groupBy("dim", "qb", "rb"))
-             .applyInPandas(best, "query_id long, vec_id long, score long"))
-    ranked = top_k(found, "query_id", [F.desc("score"), F.col("vec_id")], k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        if not len(left) or not len(right):
+            return pd.DataFrame({name: np.zeros(0, np.int64) for name in ("query_id", "vec_id", "score")})
+        held = Postings(right["vec_id"].to_numpy(), np.stack(right["vector"].to_numpy()).astype(np.int64).reshape(len(right), -1))
+        own = left["vec_id"].to_numpy()
+        queries = np.stack(left["vector"].to_numpy()).astype(np.int64).reshape(len(left), -1)
+        numbers, ids, scores = held.search(own, queries, left["floor"].to_numpy(), k)
+        return pd.DataFrame({"query_id": own[numbers], "vec_id": ids, "score": scores})
+
+    rows = settled(smallest_ids(sound, "vector", k + 1).withColumn("rb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(row_blocks)).cast("int")))
+    asked = settled(asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")))
+    found, low, high = None, 0, 1
+    while low < row_blocks:
+        if found is None:
+            left = asked.withColumn("floor", F.lit(LOWEST))
+        else:
+            # A row of an equal score may have a smaller id, so the floor lies one below the k-th score.
+            floors = found.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score") - 1).alias("floor"))
+            left = asked.join(floors.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(LOWEST)))
+        top = min(high, row_blocks)
+        left = left.withColumn("rb", F.explode(F.sequence(F.lit(low), F.lit(top - 1))))
+        right = rows.filter(F.col("rb").between(low, top - 1)).withColumn("qb", every(query_blocks))
+        more = (left.groupBy("dim", "qb", "rb").cogroup(right.groupBy("dim", "qb", "rb"))
+                .applyInPandas(best, "query_id long, vec_id long, score long"))
+        more = more if found is None else more.unionByName(found.drop("rank"))
+        found = settled(top_k(more, "query_id", [F.desc("score"), F.col("vec_id")], k))
+        low, high = high, high * GROWTH
+    return found.select("query_id", "rank", "vec_id", "score")

@@ -255,6 +255,40 @@ def test_maxscore(spark, monkeypatch):
     assert V.inner_product_search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_maxscore_waves_give_few_rows(spark, monkeypatch):
+    """A query takes its k-th score into the next wave, so tasks do not give out k rows for every block of rows."""
+    from scanweave.llm import vectors as V
+
+    monkeypatch.setattr(V, "MAXSCORE_ROWS", 40)
+    rng = random.Random(8)
+    rows = [(i, [rng.randrange(-40, 40) for _ in range(12)]) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>").repartition(4)
+    made, true_top_k = [], V.top_k
+    monkeypatch.setattr(V, "top_k", lambda found, *rest: (made.append(found.count()), true_top_k(found, *rest))[1])
+    got = V.inner_product_search(df, F.col("vec_id") % 100 == 0, 10).collect()
+    want = ranked(rows, lambda v: True, lambda a, b: -sum(x * y for x, y in zip(a, b)), lambda q: q % 100 == 0, 10)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(*w[:3], -w[3]) for w in want]
+    # 50 blocks of rows would give 20 x 50 x 10 rows at once.
+    assert sum(made) < 20 * 50 * 10 / 2
+
+
+@pytest.mark.parametrize("floor", [None, 40, 5_000])
+def test_maxscore_block_above_a_floor(floor):
+    from scanweave.llm.vectors import LOWEST, Postings
+
+    rng = np.random.default_rng(3)
+    for size in (30, 1 << 36):  # products of the large ones are not exact in doubles
+        rows, ids = rng.integers(-size, size, (300, 8)) // 2, rng.permutation(300)
+        own = ids[:40]
+        least = LOWEST if floor is None else floor
+        held = Postings(ids, rows if size == 30 else rows >> 12)
+        found = held.search(own, rows[:40], np.full(40, least), 7)
+        scores = rows[:40] @ (rows if size == 30 else rows >> 12).T
+        for n in range(40):
+            best = sorted((-int(x), int(i)) for i, x in zip(ids, scores[n]) if i != own[n] and x > least)[:7]
+            assert [(-int(x), int(i)) for m, i, x in zip(*found) if m == n] == best
+
+
 @pytest.mark.parametrize("name", ["op1_one_bit_neighbours", "op4_maxscore"])
 def test_search_queries_match_sql(spark, name):
     from check import compare, connect

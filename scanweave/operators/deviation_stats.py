@@ -73,7 +73,7 @@ def unsigned_summary(values: DataFrame, tolerance: float, keys: list[str] | None
 def face_means(values: DataFrame, faces: DataFrame) -> DataFrame:
     """Mean of the vertex values of every face; corners without a value are skipped."""
     corner = faces.select("scan_id", "face_id", F.explode(F.array("v0", "v1", "v2")).alias("vertex_id"))
-    return corner.join(values.select("scan_id", "vertex_id", "signed"), ["scan_id", "vertex_id"], "left").groupBy(
+    return corner.join(values.select("scan_id", "vertex_id", "signed").hint("merge"), ["scan_id", "vertex_id"], "left").groupBy(
         "scan_id", "face_id"
     ).agg(F.avg("signed").alias("value"))
 

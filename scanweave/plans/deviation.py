@@ -34,12 +34,12 @@ def deviation_map(
 
     `tri` carries `body` and `nominal_face` of every nominal triangle.
     """
-    measured = vertices.join(ds.measured_vertices(faces), ["scan_id", "vertex_id"], "left_semi")
+    measured = vertices.join(ds.measured_vertices(faces).hint("merge"), ["scan_id", "vertex_id"], "left_semi")
     hits = spatial.signed_distances(measured, tri, normals, max_distance, cell)
-    named = hits.join(tri.select("scan_id", "tri_id", "body", F.col("nominal_face").alias("face_id")), ["scan_id", "tri_id"])
+    named = hits.join(tri.select("scan_id", "tri_id", "body", F.col("nominal_face").alias("face_id")).hint("merge"), ["scan_id", "tri_id"])
     values = cut(
         vertices.select("scan_id", "vertex_id").join(
-            named.select("scan_id", "vertex_id", "signed", "body", "face_id"), ["scan_id", "vertex_id"], "left"
+            named.select("scan_id", "vertex_id", "signed", "body", "face_id").hint("merge"), ["scan_id", "vertex_id"], "left"
         )
     )
     return DeviationMap(values, ds.face_means(values, faces), ds.deviation_stats(values, tolerance), ds.face_deviation(values, tolerance))

@@ -104,3 +104,24 @@ def test_local_fits_equal_a_plain_fit(spark):
         a = np.column_stack([u * u / 2, u * v, v * v / 2, u, v, np.ones(9)])
         left = d[:, 2] - a @ np.linalg.lstsq(a, d[:, 2], rcond=None)[0]
         assert f.residual == pytest.approx(math.sqrt((left ** 2).mean()), abs=1e-5)
+
+
+def test_deviation_map_broadcasts_no_table_that_grows(spark):
+    """Nominal triangles, their normals and measured vertices compress well in a shuffle, so they looked small enough for the driver."""
+    from scanweave.operators import deviation_stats as ds, mesh, spatial
+
+    k = F.col("id")
+    corner = F.struct(k.alias("vertex_id"), (k % 20).cast("double").alias("x"), F.floor(k / 20).cast("double").alias("y"), F.lit(0.0).alias("z"))
+    vertices = spark.range(400).select(F.lit("scan_0").alias("scan_id"), corner.alias("c")).select("scan_id", "c.*")
+    faces = spark.range(380).filter("id % 20 < 19").select(
+        F.lit("scan_0").alias("scan_id"), k.alias("face_id"), k.alias("v0"), (k + 1).alias("v1"), (k + 20).alias("v2"))
+    tri = mesh.face_geometry(mesh.corners(vertices, faces))
+    assert tri.count() == 361
+    normals = spatial.feature_normals(faces, tri)
+    assert normals.count() == 361 * 7
+    hits = spatial.signed_distances(vertices.withColumn("z", F.col("z") + 0.25), tri.withColumn("tri_id", F.col("face_id")), normals, 0.5)
+    means = ds.face_means(hits.select("scan_id", "vertex_id", "signed"), faces)
+    for made in (tri, normals, hits, means):
+        rows = made.collect()
+        assert rows and "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {round(abs(r["value"]), 6) for r in rows} == {0.25}

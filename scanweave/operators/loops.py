@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanweave.functions.vec import V, frame_from_axis, stage, vec
 from scanweave.operators import mesh
 from scanweave.operators.graph import components, stars
-from scanweave.session import cut
+from scanweave.session import cut, cut_counting, few
 
 # Fixed values.
 TAUBIN_LAMBDA, TAUBIN_MU = 0.5, -0.53
+CHUNK_LINKS = 200_000
+MAX_ROUNDS = 64
 
 
 def taubin(vertices: DataFrame, faces: DataFrame, rounds: int) -> DataFrame:
@@ -45,6 +50,108 @@ def ranked(links: DataFrame, node: str = "a") -> DataFrame:
     return state.select("scan_id", "a", F.col("_steps").alias("to_end"))
 
 
+def _to_head(prev: np.ndarray, head: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Head of every node's path, steps from it, and on rings the smallest name, by doubling backwards.
+
+    A node whose stretch has the same smallest name as the stretch before it has gone round a ring.
+    """
+    to, steps, low = prev.copy(), np.where(head, 0, 1), name.copy()
+    while True:
+        open_ = np.flatnonzero(~head[to] & (low != low[to]))
+        if not len(open_):
+            return to, steps, low
+        via = to[open_]
+        to[open_], steps[open_], low[open_] = to[via], steps[open_] + steps[via], np.minimum(low[open_], low[via])
+
+
+def _pieces(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Links of one chunk with the piece of a path they make there, or the ring they close there.
+
+    A piece runs from `head` over `w` links to `b`; `low` is its smallest node before `b`, `off` steps from its head.
+    """
+    group = frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+    ids, rank = np.unique(np.r_[frame["a"].to_numpy(), frame["b"].to_numpy()], return_inverse=True)
+    nodes, index = np.unique((np.r_[group, group].astype(np.int64) << 32) | rank, return_inverse=True)
+    name = ids[nodes & 0xFFFFFFFF]
+    left, right = index[: len(frame)], index[len(frame):]
+    prev = np.arange(len(nodes))
+    prev[right] = left
+    head = prev == np.arange(len(nodes))
+    to, steps, low = _to_head(prev, head, name)
+    ring = ~head[to]
+    if ring.any():  # a ring starts at its smallest node
+        first = ring & (name == low)
+        prev[first] = np.flatnonzero(first)
+        to, steps, _ = _to_head(prev, head | first, name)
+    at, own = steps[left], to[left]
+    w = np.bincount(own, minlength=len(nodes))
+    smallest, off, tail = np.full(len(nodes), np.iinfo(np.int64).max), np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
+    np.minimum.at(smallest, own, name[left])
+    best, last = name[left] == smallest[own], at == w[own] - 1
+    off[own[best]] = at[best]
+    tail[own[last]] = name[right[last]]
+    return frame[[*keys, "a"]].assign(
+        head=name[own], at=at, ring=ring[left], w=w[own], b=tail[own], low=smallest[own], off=off[own])
+
+
+def ordered(links: DataFrame, keys: list[str]) -> DataFrame:
+    """Order of paths and rings: `(*keys, a, part, closed, n, pos)` for every linked node.
+
+    `links(*keys, a, b, near)`: b follows a; no node has two followers or follows two. `part` is
+    the smallest node, a ring counts from it. Links close to each other by `near` meet in chunks
+    and shrink to pieces of paths there; pieces are put together by pointer doubling, so a round
+    moves one row per piece. `near` decides how many pieces are left, never the result.
+    """
+    links = cut(links)
+    parts = max(1, -(-links.count() // CHUNK_LINKS))
+
+    def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            # A range is about one chunk; a larger one is dealt with in chunks.
+            if rows >= 2 * CHUNK_LINKS:
+                yield _pieces(pd.concat(held, ignore_index=True), keys)
+                held, rows = [], 0
+        if rows:
+            yield _pieces(pd.concat(held, ignore_index=True), keys)
+
+    types = ", ".join(f"{k} {links.schema[k].dataType.simpleString()}" for k in keys)
+    rows = cut(links.repartitionByRange(parts, *keys, "near").mapInPandas(
+        shrink, f"{types}, a long, head long, at long, ring boolean, w long, b long, low long, off long"))
+    state, left = cut_counting(rows.filter("at = 0 AND NOT ring").select(
+        *keys, F.col("head"), "w", F.col("b").alias("_to"), F.col("w").alias("_steps"), "low", "off", F.lit(None).cast("boolean").alias("closed")), F.lit(True))
+    for _ in range(MAX_ROUNDS):
+        if not left:
+            break
+        ahead = state.select(*keys, F.col("head").alias("_to"), F.lit(True).alias("_met"), *[
+            F.col(c).alias(f"_next{c}") for c in ("_to", "_steps", "low", "off", "closed")])
+        moved = F.col("closed").isNull() & F.col("_met").isNotNull()
+        round_ = moved & (F.col("low") == F.col("_nextlow"))
+        on = moved & ~round_
+        lower = on & (F.col("_nextlow") < F.col("low"))
+        pick = lambda when, value, c: F.when(when, value).otherwise(F.col(c)).alias(c)
+        state, left = cut_counting(state.join(ahead, [*keys, "_to"], "left").select(
+            *keys, "head", "w", pick(on, F.col("_next_to"), "_to"), pick(on, F.col("_steps") + F.col("_next_steps"), "_steps"),
+            pick(lower, F.col("_nextlow"), "low"), pick(lower, F.col("_steps") + F.col("_nextoff"), "off"),
+            F.when(F.col("closed").isNotNull(), F.col("closed")).when(F.col("_met").isNull(), False).when(round_, True).otherwise(F.col("_nextclosed")).alias("closed"),
+        ), F.col("closed").isNull())
+    paths = cut(state.filter("NOT closed").groupBy(*keys, "_to").agg(F.max("_steps").alias("_links"), F.min("low").alias("_low")).select(
+        *keys, "_to", F.least("_low", "_to").alias("part"), (F.col("_links") + 1).alias("n")))
+    rings = state.filter("closed").groupBy(*keys, "low").agg(F.sum("w").alias("n"))
+    solved = state.filter("NOT closed").join(paths, [*keys, "_to"]).select(
+        *keys, "head", "part", "closed", "n", (F.col("n") - 1 - F.col("_steps")).alias("_shift")
+    ).unionByName(state.filter("closed").join(rings, [*keys, "low"]).select(
+        *keys, "head", F.col("low").alias("part"), "closed", "n", (-F.col("off")).alias("_shift")))
+    inner = rows.filter("NOT ring").join(few(solved), [*keys, "head"]).select(
+        *keys, "a", "part", "closed", "n", F.pmod(F.col("at") + F.col("_shift"), "n").alias("pos"))
+    whole = rows.filter("ring").select(*keys, "a", F.col("head").alias("part"), F.lit(True).alias("closed"), F.col("w").alias("n"), F.col("at").alias("pos"))
+    ends = paths.select(*keys, F.col("_to").alias("a"), "part", F.lit(False).alias("closed"), "n", (F.col("n") - 1).alias("pos"))
+    return inner.unionByName(whole).unionByName(ends)
+
+
 def closed_loops(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ordered loops `(scan_id, loop_id, pos, vertex_id)` of directed arcs `(scan_id, src, dst)`,
     and the ids of loops that were skipped because they pass a vertex twice or stay open.

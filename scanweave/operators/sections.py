@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from scanweave.functions.vec import V, vec
 from scanweave.operators.graph import components
-from scanweave.operators.loops import ranked
+from scanweave.operators.loops import ordered
 from scanweave.session import cut
 
 # Fixed values.
 BAND_HALF_WIDTH = 0.4
 BAND_MAX_TILT = 0.1
 MIN_POINTS = 8
+# Links that follow each other are met together by their place along a direction no plane is likely to be square to.
+SWEEP = (0.5403, 0.6819, 0.4931)
 
 
 def _cut_edges(df: DataFrame, level: Column) -> DataFrame:
@@ -23,22 +25,26 @@ def _cut_edges(df: DataFrame, level: Column) -> DataFrame:
     ends it; on a consistently wound mesh the end of a segment is the start of the next.
     """
     above = {c: F.col(f"h{c}") > level for c in "abc"}
-    down, up = F.lit(None), F.lit(None)
-
-    def crossing(p: str, q: str) -> Column:
+    crossed = sum(above[c].cast("int") for c in "abc").isin(1, 2)
+    corner = F.array(*[F.struct(F.col(f"v{n}").alias("v"), F.col(f"h{c}").alias("h"), *[F.col(f"{c}{k}").alias(k) for k in "xyz"])
+                       for n, c in enumerate("abc")])
+    down = F.when(above["a"] & ~above["b"], 0).when(above["b"] & ~above["c"], 1).otherwise(2)
+    up = F.when(~above["a"] & above["b"], 0).when(~above["b"] & above["c"], 1).otherwise(2)
+    # The edge is chosen first and the point computed once: a formula per edge outgrew what the JVM compiles.
+    df = df.filter(crossed).select("*", level.alias("_level"), corner.alias("_corner"), down.alias("_down"), up.alias("_up"))
+    for name, side in (("s", "_down"), ("e", "_up")):
+        ends = [F.col("_corner")[F.col(side)], F.col("_corner")[(F.col(side) + 1) % 3]]
+        df = df.withColumns({f"_{name}p": ends[0], f"_{name}q": ends[1]})
+
+    def crossing(p: Column, q: Column) -> Column:
         # Evaluated from the lower vertex id, so both faces of an edge get the same point.
-        i, j = F.col(f"v{'abc'.index(p)}"), F.col(f"v{'abc'.index(q)}")
+        i, j = p["v"], q["v"]
         first = i < j
-        lo = {k: F.when(first, F.col(f"{p}{k}")).otherwise(F.col(f"{q}{k}")) for k in "xyz"}
-        hi = {k: F.when(first, F.col(f"{q}{k}")).otherwise(F.col(f"{p}{k}")) for k in "xyz"}
-        hl, hh = F.when(first, F.col(f"h{p}")).otherwise(F.col(f"h{q}")), F.when(first, F.col(f"h{q}")).otherwise(F.col(f"h{p}"))
-        t = (level - hl) / F.when(hh == hl, 1.0).otherwise(hh - hl)
+        lo, hi = ({k: F.when(first, x[k]).otherwise(y[k]) for k in "hxyz"} for x, y in ((p, q), (q, p)))
+        t = (F.col("_level") - lo["h"]) / F.when(hi["h"] == lo["h"], 1.0).otherwise(hi["h"] - lo["h"])
         return F.struct(F.least(i, j).alias("lo"), F.greatest(i, j).alias("hi"), *[(lo[k] + (hi[k] - lo[k]) * t).alias(k) for k in "xyz"])
 
-    for p, q in (("a", "b"), ("b", "c"), ("c", "a")):
-        down = F.when(above[p] & ~above[q], crossing(p, q)).otherwise(down)
-        up = F.when(~above[p] & above[q], crossing(p, q)).otherwise(up)
-    return df.select("*", down.alias("_s"), up.alias("_e")).filter("_s IS NOT NULL AND _e IS NOT NULL")
+    return df.select("*", *[crossing(F.col(f"_{n}p"), F.col(f"_{n}q")).alias(f"_{n}") for n in "se"])
 
 
 def _segments(df: DataFrame) -> DataFrame:
@@ -74,29 +80,25 @@ def chain_segments(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     A segment is a node; its successor starts on the mesh edge it ends on. Chain id is its
     smallest face.
     """
-    seg = cut(segments.withColumn("_key", F.concat_ws("#", "scan_id", "section_id")))
-    edge = lambda side, lo, hi, face: seg.select("_key", F.col(f"{side}lo").alias(lo), F.col(f"{side}hi").alias(hi), F.col("face_id").alias(face))
-    # An edge with more than one start is not manifold: the smallest face goes on.
-    begins = edge("s", "lo", "hi", "b").groupBy("_key", "lo", "hi").agg(F.min("b").alias("b"))
-    after = edge("e", "lo", "hi", "a").join(begins, ["_key", "lo", "hi"]).groupBy("_key", "b").agg(F.min("a").alias("a"))
-    after = cut(after.filter("a <> b").select("_key", "a", "b"))
-    nodes = seg.select(F.col("_key").alias("scan_id"), F.col("face_id"))
-    parts = cut(components(nodes, after.withColumnRenamed("_key", "scan_id")).withColumnRenamed("scan_id", "_key"))
-    full = cut(parts.join(after.withColumnRenamed("a", "face_id"), ["_key", "face_id"], "left"))
-    size = full.groupBy("_key", "part").agg(F.count("*").alias("_n"), F.count("b").alias("_links"))
-    opened = full.join(size, ["_key", "part"]).withColumn("closed", F.col("_n") == F.col("_links"))
-    opened = cut(opened.withColumn("b", F.when(F.col("closed") & (F.col("b") == F.col("part")), F.lit(None)).otherwise(F.col("b"))))
-    rank = ranked(opened.select(F.col("_key").alias("scan_id"), F.col("face_id").alias("a"), "b")).select(
-        F.col("scan_id").alias("_key"), F.col("a").alias("face_id"), "to_end")
-    at = seg.join(rank, ["_key", "face_id"]).join(opened.select("_key", "face_id", "part", "closed", "_n"), ["_key", "face_id"])
-    base = ["scan_id", "section_id", F.col("part").alias("chain_id"), "closed"]
-    pos = F.col("_n") - 1 - F.col("to_end")
-    begin = at.select(*base, pos.alias("pos"), *[F.col(f"s{c}").alias(c) for c in "xyz"])
-    final = at.filter(~F.col("closed") & (F.col("to_end") == 0)).select(*base, F.col("_n").alias("pos"), *[F.col(f"e{c}").alias(c) for c in "xyz"])
-    points = begin.unionByName(final)
-    chains = at.select(*base, "_n").distinct().select(
-        "scan_id", "section_id", "chain_id", "closed", F.when(F.col("closed"), F.col("_n")).otherwise(F.col("_n") + 1).alias("points"))
-    return chains, points
+    keys = ["scan_id", "section_id"]
+    seg = cut(segments)
+    # An edge with more than one start is not manifold: the smallest face goes on, after the smallest that ends there.
+    side = lambda n, a, b: F.struct(
+        F.col(f"{n}lo").alias("lo"), F.col(f"{n}hi").alias("hi"), a.alias("a"), b.alias("b"),
+        sum(F.col(f"{n}{c}") * w for c, w in zip("xyz", SWEEP)).alias("near"))
+    none = F.lit(None).cast("long")
+    met = seg.select(*keys, F.inline(F.array(side("e", F.col("face_id"), none), side("s", none, F.col("face_id")))))
+    after = met.filter("lo IS NOT NULL").groupBy(*keys, "lo", "hi").agg(*[F.min(c).alias(c) for c in ("a", "b", "near")])
+    order = ordered(after.filter("a <> b").select(*keys, "a", "b", "near"), keys).withColumnRenamed("a", "face_id")
+    at = cut(seg.join(order, [*keys, "face_id"], "left").select(
+        *keys, F.coalesce("part", "face_id").alias("chain_id"), F.coalesce("closed", F.lit(False)).alias("closed"),
+        F.coalesce("n", F.lit(1)).alias("_n"), F.coalesce("pos", F.lit(0)).alias("pos"), *[f"{e}{c}" for e in "se" for c in "xyz"]))
+    base = [*keys, "chain_id", "closed"]
+    begin = at.select(*base, "pos", *[F.col(f"s{c}").alias(c) for c in "xyz"])
+    final = at.filter(~F.col("closed") & (F.col("pos") == F.col("_n") - 1)).select(
+        *base, F.col("_n").alias("pos"), *[F.col(f"e{c}").alias(c) for c in "xyz"])
+    chains = at.filter("pos = 0").select(*base, F.when(F.col("closed"), F.col("_n")).otherwise(F.col("_n") + 1).alias("points"))
+    return chains, begin.unionByName(final)
 
 
 def support_points(vertices: DataFrame, origin: V, normal: V) -> DataFrame:

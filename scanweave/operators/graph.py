@@ -2,7 +2,8 @@
 
 Nodes are `(scan_id, id)`. Components first shrink edges inside each partition, then
 alternate large-star and small-star steps until every node points at the smallest id
-of its component. Each round is cut to a written table.
+of its component. Each round is cut to a written table. Edges dealt by their place shrink
+to one star per part and chunk first; only nodes met in several chunks take part in rounds.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanweave.session import cut
+from scanweave.session import cut, few
 
 CHUNK_EDGES = 200_000
 MAX_ROUNDS = 60
 
 
-def _local_stars(frame: pd.DataFrame) -> pd.DataFrame:
-    """Edges of one chunk replaced by (node, smallest node of its local component)."""
+def _local_stars(frame: pd.DataFrame, roots: bool = False) -> pd.DataFrame:
+    """Edges of one chunk replaced by (node, smallest node of its local component); `roots` keeps the smallest ones."""
     scan, scans = pd.factorize(frame["scan_id"])
     ids, rank = np.unique(np.r_[frame["a"].to_numpy(), frame["b"].to_numpy()], return_inverse=True)
     packed = (np.r_[scan, scan].astype(np.int64) << 32) | rank
@@ -40,7 +41,7 @@ def _local_stars(frame: pd.DataFrame) -> pd.DataFrame:
             if np.array_equal(jumped, root):
                 break
             root = jumped
-    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    moved = np.arange(len(nodes)) if roots else np.flatnonzero(root != np.arange(len(nodes)))
     return pd.DataFrame({
         "scan_id": np.asarray(scans)[nodes[moved] >> 32],
         "a": ids[nodes[moved] & 0xFFFFFFFF],
@@ -61,6 +62,20 @@ def _shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _local_stars(pd.concat(held, ignore_index=True))
 
 
+def _shrink_near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: list[pd.DataFrame] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        # A range is about one chunk; a larger one is dealt with in chunks.
+        if rows >= 2 * CHUNK_EDGES:
+            yield _local_stars(pd.concat(held, ignore_index=True), roots=True)
+            held, rows = [], 0
+    if rows:
+        yield _local_stars(pd.concat(held, ignore_index=True), roots=True)
+
+
 _EDGE_SCHEMA = "scan_id string, a long, b long"
 
 
@@ -111,6 +126,25 @@ def stars(links: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def near_by(rows: DataFrame, near: str, edges: int = 1) -> DataFrame:
+    """`rows` dealt in ranges of `near`, so that edges that share a node mostly meet; a row holds `edges` edges."""
+    return rows.repartitionByRange(max(1, -(-rows.count() * edges // CHUNK_EDGES)), "scan_id", near)
+
+
+def stars_near(links: DataFrame) -> DataFrame:
+    """`stars` for links dealt by `near_by`; how they are dealt decides the work, never the result."""
+    local = cut(links.select("scan_id", "a", "b").mapInPandas(_shrink_near, _EDGE_SCHEMA))
+    node = cut(local.groupBy("scan_id", "a").agg(F.min("b").alias("b"), F.max("b").alias("_high"), F.count("*").alias("_n")))
+    shared = node.filter("b <> _high")
+    # A node of several chunks ties their smallest nodes together.
+    ties = shared.select("scan_id", F.col("_high").alias("a"), "b")
+    often = few(shared.filter("_n > 2").select("scan_id", "a", F.col("b").alias("_low")))
+    more = local.join(often, ["scan_id", "a"]).filter("b <> _low").select("scan_id", F.col("b").alias("a"), F.col("_low").alias("b"))
+    top = few(stars(ties.unionByName(more)).select("scan_id", F.col("a").alias("b"), F.col("b").alias("_root")))
+    found = node.select("scan_id", "a", "b").join(top, ["scan_id", "b"], "left")
+    return found.select("scan_id", "a", F.coalesce("_root", "b").alias("b")).filter("a <> b")
+
+
 def components(nodes: DataFrame, links: DataFrame, node: str = "face_id") -> DataFrame:
     """Component of every node, named by the smallest id in it (`part`)."""
     found = stars(links).select("scan_id", F.col("a").alias(node), F.col("b").alias("_root"))

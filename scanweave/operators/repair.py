@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from scanweave.functions.vec import V, vec
 from scanweave.operators import mesh
-from scanweave.operators.graph import components, vertex_parts
-from scanweave.session import few
+from scanweave.operators.graph import near_by, stars, stars_near, vertex_parts
+from scanweave.session import cut, few
 
 # Fixed values.
 WELD_GRID_BITS = 20
@@ -77,10 +77,16 @@ def degenerate_faces(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 def degenerate_gathered(vertices: DataFrame, tri: DataFrame) -> DataFrame:
     """The same for faces whose corners are already gathered."""
-    box = few(mesh.bounds(vertices).select("scan_id", mesh.diagonal().alias("_diagonal")))
+    return marked_gathered(vertices, tri).filter("degenerate").select("scan_id", "face_id")
+
+
+def marked_gathered(vertices: DataFrame, tri: DataFrame) -> DataFrame:
+    """Gathered faces: whether they are degenerate and where they stand (`near`)."""
+    box = few(mesh.bounds(vertices))
     repeated = (F.col("v0") == F.col("v1")) | (F.col("v1") == F.col("v2")) | (F.col("v0") == F.col("v2"))
-    flat = mesh.face_cross().norm() <= 2.0 * F.pow(1e-9 * F.col("_diagonal"), 2)
-    return tri.join(box, "scan_id").filter(repeated | flat).select("scan_id", "face_id")
+    flat = mesh.face_cross().norm() <= 2.0 * F.pow(1e-9 * mesh.diagonal(), 2)
+    return mesh.placed(tri.join(box, "scan_id"), "a").select(
+        "scan_id", "face_id", F.coalesce(repeated | flat, F.lit(False)).alias("degenerate"), "near")
 
 
 def without(faces: DataFrame, removed: DataFrame) -> DataFrame:
@@ -109,22 +115,26 @@ def winding(faces: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per face: its part, whether it disagrees with the majority, and non-orientable ones.
 
     Components run on a double cover: node `2 f` is face f as it is, `2 f + 1` the face
-    turned over. A part's smallest face is also the smallest node of its component, so
+    turned over. Pairs that tell their place (`near`) are met by it. A part's smallest face is also the smallest node of its component, so
     the cover labels give the parts as well.
     """
     a0, b0 = 2 * F.col("fa"), 2 * F.col("fb")
     odd = F.when(F.col("consistent"), 0).otherwise(1)
-    cover = pairs.select("scan_id", F.inline(F.array(
-        F.struct(a0.alias("a"), (b0 + odd).alias("b")),
-        F.struct((a0 + 1).alias("a"), (b0 + 1 - odd).alias("b")),
-    )))
-    both = F.array(2 * F.col("face_id"), 2 * F.col("face_id") + 1)
-    nodes = faces.select("scan_id", F.explode(both).alias("node"))
-    labelled = components(nodes, cover, node="node")
-    as_is = F.col("node") % 2 == 0
-    per_face = (
-        labelled.groupBy("scan_id", F.floor(F.col("node") / 2).alias("face_id"))
-        .agg(F.max(F.when(as_is, F.col("part"))).alias("_c0"), F.max(F.when(~as_is, F.col("part"))).alias("_c1"))
+    sides = F.array(F.struct(a0.alias("a"), (b0 + odd).alias("b")), F.struct((a0 + 1).alias("a"), (b0 + 1 - odd).alias("b")))
+    if "near" in pairs.columns:
+        pairs = near_by(cut(pairs.select("scan_id", "fa", "fb", "consistent", "near")), "near", edges=2)
+        found = stars_near(pairs.select("scan_id", F.inline(sides)))
+    else:
+        found = stars(pairs.select("scan_id", F.inline(sides)))
+    # A node that is not found is the smallest of its component itself.
+    no = F.lit(None).cast("long")
+    as_is = F.col("a") % 2 == 0
+    roots = faces.select("scan_id", "face_id", no.alias("_c0"), no.alias("_c1")).unionByName(found.select(
+        "scan_id", F.floor(F.col("a") / 2).alias("face_id"), F.when(as_is, F.col("b")).alias("_c0"), F.when(~as_is, F.col("b")).alias("_c1")))
+    c0, c1 = F.coalesce("_c0", 2 * F.col("face_id")), F.coalesce("_c1", 2 * F.col("face_id") + 1)
+    per_face = cut(
+        roots.groupBy("scan_id", "face_id").agg(F.max("_c0").alias("_c0"), F.max("_c1").alias("_c1"))
+        .select("scan_id", "face_id", c0.alias("_c0"), c1.alias("_c1"))
         .select(
             "scan_id", "face_id", F.floor(F.least("_c0", "_c1") / 2).alias("part"),
             (F.col("_c0") == F.col("_c1")).alias("non_orientable"),
@@ -135,7 +145,7 @@ def winding(faces: DataFrame, pairs: DataFrame) -> DataFrame:
         F.count_if(F.col("_against")).alias("_no"), F.count_if(~F.col("non_orientable")).alias("_all")
     )
     flip = ~F.col("non_orientable") & (F.col("_against") != (F.col("_no") > F.col("_all") / 2))
-    return per_face.join(votes, ["scan_id", "part"]).select(
+    return per_face.join(few(votes), ["scan_id", "part"]).select(
         "scan_id", "face_id", "part", flip.alias("flip"), "non_orientable"
     )
 

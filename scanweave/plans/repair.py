@@ -29,20 +29,23 @@ def repair(vertices: DataFrame, faces: DataFrame, steps: tuple[str, ...] = STEPS
     if "weld" in steps:
         weld = cut(ops.weld_map(vertices))
         count(weld.filter("vertex_id <> kept_id"), "merged_vertices")
-        faces = ops.remap_corners(faces, weld)
+        faces = cut(ops.remap_corners(faces, weld))
         vertices = vertices.join(
             weld.filter("vertex_id = kept_id").select("scan_id", "vertex_id"), ["scan_id", "vertex_id"], "left_semi"
         )
-    if "degenerate" in steps:
-        removed = cut(ops.degenerate_faces(vertices, faces))
-        count(removed, "degenerate_faces")
-        faces = ops.without(faces, removed)
+    if "degenerate" in steps or "winding" in steps or "orientation" in steps:
+        marks = cut(ops.marked_gathered(vertices, mesh.corners(vertices, faces, carry=["v0", "v1", "v2"])))
+        faces = faces.join(marks, ["scan_id", "face_id"], "left")
+        if "degenerate" in steps:
+            count(marks.filter("degenerate"), "degenerate_faces")
+            faces = faces.filter(~F.coalesce("degenerate", F.lit(False)))
+        faces = faces.drop("degenerate")
     if "duplicates" in steps:
         before = cut(faces)
         faces = cut(ops.distinct_faces(before))
         count(ops.without(before, faces), "duplicate_faces")
     if "winding" in steps or "orientation" in steps:
-        turned = cut(ops.winding(faces, mesh.face_pairs(faces)))
+        turned = cut(ops.winding(faces, mesh.face_pairs(faces, least=["near"])))
         faces = faces.join(turned, ["scan_id", "face_id"])
         if "winding" in steps:
             count(turned.filter("flip"), "flipped_faces")
@@ -56,6 +59,7 @@ def repair(vertices: DataFrame, faces: DataFrame, steps: tuple[str, ...] = STEPS
             faces = faces.join(inverted, ["scan_id", "part"], "left")
             faces = ops.reversed_faces(faces, F.coalesce("_in", F.lit(False))).drop("_in")
         faces = faces.drop("part")
+    faces = faces.drop("near")
     names = ["merged_vertices", "degenerate_faces", "duplicate_faces", "flipped_faces", "non_orientable_faces", "inverted_parts"]
     table = counts[0]
     for other in counts[1:]:

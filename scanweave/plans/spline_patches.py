@@ -30,6 +30,10 @@ REFINE_FACTOR = 1.5
 REFINE_GAIN = 0.05
 MAX_SPREAD_DEG = 150.0
 MIN_POINTS = 16
+#: Share of the squared heights below which a squared residual is the rounding of its sums.
+ROUNDING = 64 * np.finfo(float).eps
+#: Matrix values of the patches solved together, and polynomials written at once.
+SOLVED_VALUES, PIECE_ROWS = 2_000_000, 100_000
 _SIGN = np.array([1.0, 0.7, 0.4])
 
 _AXES = [f"{p}{c}" for p in ("o", "u", "v", "w") for c in "xyz"]
@@ -129,99 +133,154 @@ def basis_pieces(spans: int) -> np.ndarray:
 
 
 def banded_solve(blocks: np.ndarray, links: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Solution of a symmetric block-tridiagonal system: diagonal blocks, blocks above them, right-hand sides."""
-    count = len(blocks)
+    """Solutions of symmetric block-tridiagonal systems (first axis): diagonal blocks, blocks above them, right-hand sides."""
+    count = blocks.shape[1]
     upper, rhs = [None] * count, [None] * count
-    diagonal, side = blocks[0], right[0]
+    diagonal, side = blocks[:, 0], right[:, 0]
     for k in range(count):
         if k:
-            diagonal = blocks[k] - links[k - 1].T @ upper[k - 1]
-            side = right[k] - links[k - 1].T @ rhs[k - 1]
-        both = np.linalg.solve(diagonal, np.column_stack([links[k], side]) if k < count - 1 else side[:, None])
-        upper[k], rhs[k] = both[:, :-1], both[:, -1]
+            back = links[:, k - 1].transpose(0, 2, 1)
+            diagonal = blocks[:, k] - back @ upper[k - 1]
+            side = right[:, k] - (back @ rhs[k - 1][..., None])[..., 0]
+        both = np.linalg.solve(diagonal, np.concatenate([links[:, k], side[..., None]], axis=2) if k < count - 1 else side[..., None])
+        upper[k], rhs[k] = both[..., :-1], both[..., -1]
     out = [rhs[-1]]
     for k in range(count - 2, -1, -1):
-        out.append(rhs[k] - upper[k] @ out[-1])
-    return np.concatenate(out[::-1])
+        out.append(rhs[k] - (upper[k] @ out[-1][..., None])[..., 0])
+    return np.concatenate(out[::-1], axis=1)
 
 
-def solve_patch(nu: int, nv: int, cu: np.ndarray, cv: np.ndarray, moments: np.ndarray, right: np.ndarray, ww: float, smoothing: float) -> tuple[np.ndarray, float]:
-    """Coefficients (nu + 3, nv + 3) and mean squared height residual of one patch, from its cells' sums."""
-    rows, columns = nu + 3, nv + 3
-    pu, pv = basis_pieces(nu), basis_pieces(nv)
-    # Rows of coefficients in threes: a cell touches four neighbouring rows, so only neighbouring blocks.
-    count = -(-rows // 3)
+def _squared(pieces: np.ndarray) -> np.ndarray:
+    """Products of a span's four functions as polynomials of degree six (span, function and function, power)."""
+    out = np.zeros((len(pieces), 4, 4, 7))
+    for a in range(4):
+        for b in range(4):
+            out[..., a + b] += pieces[:, :, None, a] * pieces[:, None, :, b]
+    return out.reshape(-1, 16, 7)
+
+
+def _bending(rows: int, columns: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks and links of the curvature penalty."""
     width = 3 * columns
     blocks, links = np.zeros((count, width, width)), np.zeros((max(count - 1, 0), width, width))
-    rhs = np.zeros((count, width))
-    power = np.add.outer(np.arange(4), np.arange(4))
-    for i, j, m, r in zip(cu, cv, moments.reshape(-1, 7, 7), right.reshape(-1, 4, 4)):
-        a, b = pu[i], pv[j]
-        products = np.einsum("pa,qc,xb,yd,acbd->pxqy", a, a, b, b, m[power[:, :, None, None], power[None, None, :, :]])
-        side = a @ r @ b.T
-        for p in range(4):
-            block, place = divmod(i + p, 3)
-            rhs[block, place * columns + j:place * columns + j + 4] += side[p]
-            for q in range(4):
-                other, there = divmod(i + q, 3)
-                here = slice(place * columns + j, place * columns + j + 4)
-                yonder = slice(there * columns + j, there * columns + j + 4)
-                if block == other:
-                    blocks[block][here, yonder] += products[p, :, q, :]
-                elif other == block + 1:
-                    links[block][here, yonder] += products[p, :, q, :]
-    points = moments.reshape(-1, 7, 7)[:, 0, 0].sum()
-    data = blocks.copy(), links.copy()
-    weight = smoothing * points / (rows * columns)
     second_u, second_v = (np.diff(np.eye(n), 2, axis=0) for n in (rows, columns))
     bend_u, bend_v = second_u.T @ second_u, second_v.T @ second_v
     for p in range(rows):
         block, place = divmod(p, 3)
         here = slice(place * columns, (place + 1) * columns)
-        blocks[block][here, here] += weight * bend_v
+        blocks[block][here, here] += bend_v
         for q in range(max(0, p - 2), min(rows, p + 3)):
             other, there = divmod(q, 3)
             yonder = slice(there * columns, (there + 1) * columns)
             if other == block:
-                blocks[block][here, yonder] += weight * bend_u[p, q] * np.eye(columns)
+                blocks[block][here, yonder] += bend_u[p, q] * np.eye(columns)
             elif other == block + 1:
-                links[block][here, yonder] += weight * bend_u[p, q] * np.eye(columns)
+                links[block][here, yonder] += bend_u[p, q] * np.eye(columns)
+    return blocks, links
+
+
+def solve_patches(nu: int, nv: int, patch: np.ndarray, cu: np.ndarray, cv: np.ndarray, moments: np.ndarray, right: np.ndarray, ww: np.ndarray, smoothing: float) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (patch, nu + 3, nv + 3) and mean squared height residuals of patches with the same spans.
+
+    Cells `(cu, cv)` belong to the patch numbered in `patch`; `ww` has a value per patch.
+    """
+    many, rows, columns = len(ww), nu + 3, nv + 3
+    pu, pv = basis_pieces(nu), basis_pieces(nv)
+    # Rows of coefficients in threes: a cell touches four neighbouring rows, so only neighbouring blocks.
+    count = -(-rows // 3)
+    width = 3 * columns
+    m, r = moments.reshape(-1, 7, 7), right.reshape(-1, 4, 4)
+    products = (_squared(pu)[cu] @ m @ _squared(pv)[cv].transpose(0, 2, 1)).reshape(-1, 4, 4, 4, 4)  # by p, q, x, y
+    side = pu[cu] @ r @ pv[cv].transpose(0, 2, 1)
+    block, place = np.divmod(cu[:, None] + np.arange(4), 3)
+    at = cv[:, None] + np.arange(4)
+    base = (patch[:, None] * count + block) * width + place * columns  # place of a row in a patch's right-hand side
+    rhs = np.bincount((base[:, :, None] + at[:, None, :]).ravel(), side.ravel(), many * count * width).reshape(many, count, width)
+    line = (base[:, :, None] + at[:, None, :])[:, :, None, :, None] * width
+    flat = line + place[:, None, :, None, None] * columns + at[:, None, None, None, :]
+    same = np.broadcast_to((block[:, :, None] == block[:, None, :])[..., None, None], flat.shape)
+    next_ = np.broadcast_to((block[:, :, None] + 1 == block[:, None, :])[..., None, None], flat.shape)
+    blocks, links = (np.bincount(flat[w], products[w], many * count * width * width).reshape(many, count, width, width) for w in (same, next_))
+    links = links[:, :-1]
+    points = np.bincount(patch, m[:, 0, 0], many)
+    weight = (smoothing * points / (rows * columns))[:, None, None, None]
+    bend, bend_links = _bending(rows, columns, count)
+    tiny = 1e-12 * np.maximum(points, 1.0)[:, None, None, None] * np.eye(width)
+    full = blocks + weight * bend + tiny
     # Places without a coefficient, in the last block.
     for p in range(rows, 3 * count):
         for k in range(columns):
-            blocks[-1][(p % 3) * columns + k, (p % 3) * columns + k] = 1.0
-    tiny = 1e-12 * max(points, 1.0)
-    blocks = blocks + tiny * np.eye(width)
-    x = banded_solve(blocks, links, rhs)
-    parts = x.reshape(count, width)
-    square = sum(s @ d @ s for s, d in zip(parts, data[0])) + 2 * sum(a @ d @ b for a, d, b in zip(parts[:-1], data[1], parts[1:]))
-    left = ww - 2 * float((parts * rhs).sum()) + float(square)
-    return x[:rows * columns].reshape(rows, columns), max(left, 0.0) / max(points, 1.0)
+            full[:, -1, (p % 3) * columns + k, (p % 3) * columns + k] += 1.0
+    x = banded_solve(full, links + weight * bend_links, rhs)
+    parts = x.reshape(many, count, width)
+    square = np.einsum("kci,kci->k", (blocks @ parts[..., None])[..., 0], parts)
+    square += 2 * np.einsum("kci,kci->k", (links @ parts[:, 1:, :, None])[..., 0], parts[:, :-1])
+    left = ww - 2 * (parts * rhs).sum(axis=(1, 2)) + square
+    # What is left of equal sums is rounding: such a residual counts as none.
+    left = np.where(left <= ROUNDING * ww, 0.0, left)
+    return x[:, :rows * columns].reshape(many, rows, columns), left / np.maximum(points, 1.0)
 
 
-def _solved(smoothing: float):
-    def solve(key, part: pd.DataFrame) -> pd.DataFrame:
-        nu, nv = int(part["nu"].iloc[0]), int(part["nv"].iloc[0])
-        c, mse = solve_patch(nu, nv, part["cu"].to_numpy(), part["cv"].to_numpy(), part[_MOMENTS].to_numpy(), part[_RIGHT].to_numpy(), part["ww"].sum(), smoothing)
-        return pd.DataFrame({"scan_id": [key[0]], "label": np.array([key[1]], dtype=np.int32), "coefficients": [c.ravel()], "mse": [mse]})
+def solve_patch(nu: int, nv: int, cu: np.ndarray, cv: np.ndarray, moments: np.ndarray, right: np.ndarray, ww: float, smoothing: float) -> tuple[np.ndarray, float]:
+    """Coefficients (nu + 3, nv + 3) and mean squared height residual of one patch, from its cells' sums."""
+    c, mse = solve_patches(nu, nv, np.zeros(len(cu), dtype=int), np.asarray(cu), np.asarray(cv), moments, right, np.array([ww], dtype=float), smoothing)
+    return c[0], float(mse[0])
 
-    return solve
+
+def _whole(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by `keys`, joined so that no group lies in two of them."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        last = (b[keys] != b[keys].iloc[-1]).any(axis=1).to_numpy().nonzero()[0]
+        end = last[-1] + 1 if len(last) else 0
+        if held and (end or (held[-1][keys].iloc[-1] != b[keys].iloc[0]).any()):
+            yield pd.concat([*held, b.iloc[:end]], ignore_index=True)
+            held = []
+        elif end:
+            yield b.iloc[:end].reset_index(drop=True)
+        held.append(b.iloc[end:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _solved(batches: Iterator[pd.DataFrame], smoothing: float) -> Iterator[pd.DataFrame]:
+    """Coefficients and residual of every patch, from cells sorted by patch; patches of the same spans are solved together."""
+    for b in _whole(batches, KEY):
+        b = b.assign(_patch=(b[KEY] != b[KEY].shift()).any(axis=1).cumsum())
+        for (nu, nv), part in b.groupby(["nu", "nv"]):
+            nu, nv = int(nu), int(nv)
+            patch = part["_patch"].factorize()[0]
+            most = max(1, SOLVED_VALUES // ((nu + 5) * 3 * (nv + 3) ** 2))
+            for first in range(0, patch[-1] + 1, most):
+                lot = part[(patch >= first) & (patch < first + most)]
+                own = lot["_patch"].factorize()[0]
+                ww = np.bincount(own, lot["ww"])
+                c, mse = solve_patches(nu, nv, own, lot["cu"].to_numpy(dtype=int), lot["cv"].to_numpy(dtype=int), lot[_MOMENTS].to_numpy(), lot[_RIGHT].to_numpy(), ww, smoothing)
+                out = lot.drop_duplicates("_patch")[KEY].reset_index(drop=True)
+                out["coefficients"], out["mse"] = list(c.reshape(len(ww), -1)), mse
+                yield out
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The polynomial of every cell of every patch."""
     for b in batches:
-        for row in b.itertuples(index=False):
-            pu, pv = basis_pieces(row.nu), basis_pieces(row.nv)
-            c = np.asarray(row.coefficients).reshape(row.nu + 3, row.nv + 3)
-            held = np.lib.stride_tricks.sliding_window_view(c, (4, 4))
-            poly = np.einsum("ipa,ijpq,jqb->ijab", pu, held, pv).reshape(-1, 16)
-            out = pd.DataFrame(poly, columns=_PIECE)
-            out.insert(0, "cv", np.tile(np.arange(row.nv, dtype=np.int32), row.nu))
-            out.insert(0, "cu", np.repeat(np.arange(row.nu, dtype=np.int32), row.nv))
-            out.insert(0, "label", np.int32(row.label))
-            out.insert(0, "scan_id", row.scan_id)
-            yield out
+        for (nu, nv), part in b.groupby(["nu", "nv"]):
+            nu, nv = int(nu), int(nv)
+            pu, pv = basis_pieces(nu), basis_pieces(nv)
+            most = max(1, PIECE_ROWS // (nu * nv))
+            for first in range(0, len(part), most):
+                lot = part.iloc[first:first + most]
+                c = np.stack(lot["coefficients"].to_numpy()).reshape(-1, nu + 3, nv + 3)
+                held = np.lib.stride_tricks.sliding_window_view(c, (4, 4), axis=(1, 2))
+                poly = np.einsum("ipa,kijpq,jqb->kijab", pu, held, pv, optimize=True).reshape(-1, 16)
+                out = pd.DataFrame(poly, columns=_PIECE)
+                out.insert(0, "cv", np.tile(np.arange(nv, dtype=np.int32), nu * len(lot)))
+                out.insert(0, "cu", np.tile(np.repeat(np.arange(nu, dtype=np.int32), nv), len(lot)))
+                for name in reversed(KEY):
+                    out.insert(0, name, np.repeat(lot[name].to_numpy(), nu * nv))
+                yield out
 
 
 def _heights(placed: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -277,11 +336,12 @@ def fit_patches(points: DataFrame, smoothing: float = 0.1, margin: float = 0.0,
     final: list[DataFrame] = []
     while True:
         sums = cell_moments(_placed(local, grids)).join(grids.select(*KEY, "nu", "nv"), KEY)
-        found = sums.groupBy(*KEY).applyInPandas(_solved(smoothing), "scan_id string, label int, coefficients array<double>, mse double")
+        cells = sums.repartition(*KEY).sortWithinPartitions(*KEY)
+        found = cells.mapInPandas(lambda it: _solved(it, smoothing), "scan_id string, label int, coefficients array<double>, mse double")
         found = cut(found.join(grids, KEY))
         if best is not None:
             was = best.select(*KEY, F.col("mse").alias("_was"))
-            better = F.sqrt("mse") <= (1 - REFINE_GAIN) * F.sqrt("_was")
+            better = F.sqrt("mse") < (1 - REFINE_GAIN) * F.sqrt("_was")
             judged = cut(found.join(was, KEY).withColumn("_better", better))
             # Patches that gained too little keep the coarser surface.
             final.append(best.join(judged.filter("NOT _better").select(*KEY), KEY, "left_semi"))

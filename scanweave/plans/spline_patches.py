@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from scanweave.functions.vec import V, vec
 from scanweave.operators.quantiles import exact_percentiles
-from scanweave.session import cut
+from scanweave.session import cut, whole_groups
 
 KEY = ["scan_id", "label"]
 CELL = [*KEY, "cu", "cv"]
@@ -227,27 +227,9 @@ def solve_patch(nu: int, nv: int, cu: np.ndarray, cv: np.ndarray, moments: np.nd
     return c[0], float(mse[0])
 
 
-def _whole(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Batches of rows sorted by `keys`, joined so that no group lies in two of them."""
-    held: list[pd.DataFrame] = []
-    for b in batches:
-        if not len(b):
-            continue
-        last = (b[keys] != b[keys].iloc[-1]).any(axis=1).to_numpy().nonzero()[0]
-        end = last[-1] + 1 if len(last) else 0
-        if held and (end or (held[-1][keys].iloc[-1] != b[keys].iloc[0]).any()):
-            yield pd.concat([*held, b.iloc[:end]], ignore_index=True)
-            held = []
-        elif end:
-            yield b.iloc[:end].reset_index(drop=True)
-        held.append(b.iloc[end:])
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
 def _solved(batches: Iterator[pd.DataFrame], smoothing: float) -> Iterator[pd.DataFrame]:
     """Coefficients and residual of every patch, from cells sorted by patch; patches of the same spans are solved together."""
-    for b in _whole(batches, KEY):
+    for b in whole_groups(batches, KEY):
         b = b.assign(_patch=(b[KEY] != b[KEY].shift()).any(axis=1).cumsum())
         for (nu, nv), part in b.groupby(["nu", "nv"]):
             nu, nv = int(nu), int(nv)

@@ -145,9 +145,20 @@ def stars_near(links: DataFrame) -> DataFrame:
     return found.select("scan_id", "a", F.coalesce("_root", "b").alias("b")).filter("a <> b")
 
 
+def stars_placed(links: DataFrame, expand=None, edges: int = 1) -> DataFrame:
+    """`stars` of `links(scan_id, a, b)`, by their places when they tell them (`near`).
+
+    `expand` makes the `edges` links of a row, after the rows are dealt.
+    """
+    if "near" not in links.columns:
+        return stars(expand(links) if expand else links)
+    dealt = near_by(cut(links), "near", edges)
+    return stars_near(expand(dealt) if expand else dealt)
+
+
 def components(nodes: DataFrame, links: DataFrame, node: str = "face_id") -> DataFrame:
-    """Component of every node, named by the smallest id in it (`part`)."""
-    found = stars(links).select("scan_id", F.col("a").alias(node), F.col("b").alias("_root"))
+    """Component of every node, named by the smallest id in it (`part`); links may tell their place (`near`)."""
+    found = stars_placed(links).select("scan_id", F.col("a").alias(node), F.col("b").alias("_root"))
     return nodes.join(found, ["scan_id", node], "left").select(
         *nodes.columns, F.coalesce("_root", node).alias("part")
     )
@@ -159,9 +170,10 @@ def edge_parts(faces: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def vertex_parts(faces: DataFrame) -> DataFrame:
-    """Parts of faces connected through shared vertices, named by their smallest vertex."""
+    """Parts of faces connected through shared vertices, named by their smallest vertex; faces may tell their place (`near`)."""
+    corners = faces.select("scan_id", "v0", "v1", "v2", *[c for c in ("near",) if c in faces.columns])
     links = F.array(*[F.struct(F.col(f"v{s}").alias("a"), F.col(f"v{s + 1}").alias("b")) for s in (0, 1)])
-    found = stars(faces.select("scan_id", F.inline(links)).filter("a <> b"))
+    found = stars_placed(corners, lambda rows: rows.select("scan_id", F.inline(links)).filter("a <> b"), edges=2)
     return faces.join(
         found.select("scan_id", F.col("a").alias("v0"), F.col("b").alias("_root")), ["scan_id", "v0"], "left"
     ).select("scan_id", "face_id", F.coalesce("_root", "v0").alias("part"))

@@ -89,6 +89,13 @@ def marked_gathered(vertices: DataFrame, tri: DataFrame) -> DataFrame:
         "scan_id", "face_id", F.coalesce(repeated | flat, F.lit(False)).alias("degenerate"), "near")
 
 
+def placed_faces(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """Faces with the place of their first corner (`near`), by which components meet."""
+    at = vertices.groupBy("scan_id", F.col("vertex_id").alias("v0")).agg(*[F.min(c).alias(c) for c in "xyz"])
+    rows = faces.join(at, ["scan_id", "v0"], "left").join(few(mesh.bounds(vertices)), "scan_id", "left")
+    return mesh.placed(rows).select(*faces.columns, "near")
+
+
 def without(faces: DataFrame, removed: DataFrame) -> DataFrame:
     return faces.join(removed, ["scan_id", "face_id"], "left_anti")
 

@@ -139,9 +139,10 @@ def crease_zone(faces: DataFrame, residual: DataFrame, area: DataFrame) -> DataF
     hot = mean.join(median, "scan_id").filter(F.col("_mean") / F.greatest("_median", F.lit(1e-12)) > CREASE_FACTOR).select("scan_id", "vertex_id")
     corner = faces.filter("NOT synthetic").select(*KEY, F.explode(F.array("v0", "v1", "v2")).alias("vertex_id"))
     zone = cut(corner.join(hot, ["scan_id", "vertex_id"], "left_semi").select(*KEY).distinct())
-    pairs = face_pairs(faces)
+    place = [c for c in ("near",) if c in faces.columns]
+    pairs = face_pairs(faces, place)
     for side in ("fa", "fb"):
         pairs = pairs.join(zone.withColumnRenamed("face_id", side), ["scan_id", side], "left_semi")
-    parts = components(zone, pairs.select("scan_id", F.col("fa").alias("a"), F.col("fb").alias("b")))
+    parts = components(zone, pairs.select("scan_id", F.col("fa").alias("a"), F.col("fb").alias("b"), *place))
     large = parts.join(area, KEY).groupBy("scan_id", "part").agg(F.sum("area").alias("_a")).filter(F.col("_a") >= CREASE_MIN_AREA)
     return parts.join(large, ["scan_id", "part"], "left_semi").select(*KEY)

@@ -34,9 +34,10 @@ def scaled(vertices: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]
 def commit_import(vertices: DataFrame, faces: DataFrame, units: DataFrame, noise: DataFrame | None = None, reduce_by: float | None = None) -> Imported:
     """The working mesh of every scan. `units(scan_id, unit)`, `noise(scan_id, noise)` in mm."""
     moved, origin = scaled(vertices, units)
-    fixed = repair(cut(moved), faces, ("degenerate", "duplicates", "winding", "orientation"))
+    moved = cut(moved)
+    fixed = repair(moved, faces, ("degenerate", "duplicates", "winding", "orientation"))
     before = cut(fixed.faces)
-    kept = cut(ops.without_small_parts(before))
+    kept = cut(ops.without_small_parts(cut(ops.placed_faces(moved, before))).drop("near"))
     points = fixed.vertices
     if reduce_by is not None:
         points, kept, _ = decimate(points, kept, reduce_by)

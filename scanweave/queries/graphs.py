@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from scanweave.checks import r, sql
 from scanweave.functions.vec import r6, vec
 from scanweave.operators import graph, loops, mesh, segmentation as seg
+from scanweave.operators.repair import placed_faces
 from scanweave.registry import query
+from scanweave.session import cut
 
 D = "::DOUBLE"
 
@@ -164,7 +166,7 @@ def _(t):
     tri = mesh.corners(t.vertices, t.faces, carry=["v0", "v1", "v2"])
     residual = t.vertices.select("scan_id", "vertex_id", F.pow(F.col("z") * 10, F.lit(8.0)).alias("residual"))
     area = mesh.face_geometry(tri).select("scan_id", "face_id", "area")
-    return seg.crease_zone(t.faces, residual, area)
+    return seg.crease_zone(cut(placed_faces(t.vertices, t.faces)), residual, area)
 
 
 @query("g21_decimate")

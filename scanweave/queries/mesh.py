@@ -10,6 +10,7 @@ from scanweave.operators import graph, mesh, repair as ops
 from scanweave.plans.repair import repair
 from scanweave.plans.report import boundary_loop_counts, mesh_report
 from scanweave.registry import query
+from scanweave.session import cut
 
 XYZ9 = [f"{c}{a}" for c in "abc" for a in "xyz"]
 
@@ -196,7 +197,8 @@ def _(t):
 @query("g06_fix_winding", sql("SELECT scan_id, face_id, v0, v1, v2, face_id % 31 = 0 AS flipped FROM tiled_faces"))
 def _(t):
     faces = ops.distinct_faces(ops.without(t.dirty_faces, t.dirty_faces.filter("v0 = v1").select("scan_id", "face_id")))
-    turned = ops.winding(faces, mesh.face_pairs(faces))
+    faces = cut(ops.placed_faces(t.vertices, faces))
+    turned = ops.winding(faces, mesh.face_pairs(faces, least=["near"]))
     joined = faces.join(turned, ["scan_id", "face_id"])
     return ops.reversed_faces(joined, F.col("flip")).select("scan_id", "face_id", "v0", "v1", "v2", F.col("flip").alias("flipped"))
 
